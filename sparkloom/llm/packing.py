@@ -164,8 +164,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
     return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long").withColumn("part", F.spark_partition_id())
 
 
-def _packed(e) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in e.ids)
+def _packed(ids: list[int]) -> bytes:
+    return b"".join(i.to_bytes(4, "little") for i in ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -47,9 +47,43 @@ def op9_warc(spark, sf_dir):
     return archive(table(spark, sf_dir, "pages"))
 
 
+def op1_toxicity(spark, sf_dir):
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return out.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_decontamination(spark, sf_dir):
+    from .decontaminate import annotate
+
+    out = annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.array_join("_items", ","), 256)
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_hit").alias("n_hit"), F.size("_items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("_n_hit") > 0).alias("contaminated"))
+
+
+def op8_licenses(spark, sf_dir):
+    from .licenses import scan
+
+    out = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_license").alias("license"), F.col("_score").alias("score"), F.col("_n_matches").alias("n_matches"))
+
+
+def op10_quality(spark, sf_dir):
+    from .quality import score
+
+    out = score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_posterior").alias("posterior"), F.col("_score").alias("score"), F.col("_keep").alias("keep"))
+
+
 def queries():
-    return {f.__name__: f for f in (op2_simhash, op4_packing, op5_maxscore, op7_token_counts, op9_warc)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_packing, op5_maxscore, op6_decontamination, op7_token_counts, op8_licenses, op9_warc, op10_quality)}
 
 
 def oracle_sql():
-    return {}
+    from .licenses import oracle
+
+    return {"op8_licenses": oracle()}

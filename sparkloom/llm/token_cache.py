@@ -2,13 +2,14 @@
 
 Texts are cut at single spaces and line feeds where the tokenizer is known
 to cut too, and each distinct piece is encoded once per worker by the
-tokenizers library itself. Texts with neighbouring white space, or white
+tokenizers library itself: plain words by its model, others in full. Texts with neighbouring white space, or white
 space at an end, go to the library whole.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 
 import pyarrow as pa
 import zstandard
@@ -20,9 +21,18 @@ from .common import materialise, table_path
 #: Pieces that a worker remembers before it starts anew.
 PIECES = 600_000
 UNSAFE = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
+#: Marks at the end of a word that both tokenizers part from its letters.
+TAIL = ".,;:!?\")]}#$%&*"
 _workers: dict = {}
 
 
+def byte_letters() -> list[str]:
+    """The printable letter that byte-level vocabularies use for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
 class PieceEncoder:
     """Encodes by pieces. space_joins: a piece keeps the space before it (byte-level); else white space is dropped by the tokenizer."""
 
@@ -32,7 +42,8 @@ class PieceEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.space_joins, self.value, self.known = space_joins, value, {}
+        self.model, self.letters = self.library.model, byte_letters()
+        self.space_joins, self.value, self.known, self.words = space_joins, value, {}, {}
 
     @classmethod
     def of(cls, path: str, space_joins: bool, value) -> "PieceEncoder":
@@ -55,17 +66,44 @@ class PieceEncoder:
             out += [" " + w for w in words[1:]]
         return out
 
+    def _word(self, word: str, space: bool):
+        """Value of a word of letters alone."""
+        if not self.space_joins:
+            word = word.lower()
+        key = (word, space)
+        if key not in self.words:
+            raw = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            self.words[key] = self.value([t.id for t in self.model.tokenize("\u0120" + raw if space else raw)])
+        return self.words[key]
+
+    def _learn(self, pieces: list[str]) -> None:
+        whole, parts = [], []
+        for p in pieces:
+            space = self.space_joins and p[:1] == " "
+            w = p[1:] if space else p
+            core = w.rstrip(TAIL)
+            plain = core.isalpha() and len(core) < 100 and (core.isascii() or self.space_joins or unicodedata.is_normalized("NFC", core) and unicodedata.is_normalized("NFC", core.lower()) and "\u03a3" not in core and "\u0130" not in core)
+            if plain:
+                parts.append((p, core, space, w[len(core) :]))
+            else:
+                whole.append(p)
+        whole = list(dict.fromkeys(whole + [t for *_, t in parts if t and t not in self.known]))
+        for i in range(0, len(whole), 4096):
+            part = whole[i : i + 4096]
+            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[p] = self.value(e.ids)
+        for p, core, space, tail in parts:
+            v = self._word(core, space)
+            self.known[p] = v + self.known[tail] if tail else v
+
     def encode(self, texts: list[str]) -> list[list]:
         """Per text the values of its pieces, in order."""
         cut = [self.pieces(t) if t else [] for t in texts]
         new = list(set().union(*cut) - self.known.keys()) if cut else []
         if len(self.known) + len(new) > PIECES:
-            self.known = {}
+            self.known, self.words = {}, {}
             new = list(set().union(*cut))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = self.value(e)
+        self._learn(new)
         get = self.known.__getitem__
         out = [list(map(get, c)) for c in cut]
         for p in new:
@@ -74,8 +112,8 @@ class PieceEncoder:
         return out
 
 
-def _length(e) -> int:
-    return len(e)
+def _length(ids: list[int]) -> int:
+    return len(ids)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 256):

@@ -75,8 +75,8 @@ def test_piece_encoder(docs, joins, name):
 
     path = registry.tokenizer(name)
     lib = Tokenizer.from_file(path)
-    texts = [t or "" for _, t in docs] + ["a ́b", "İΣ ς", "it's 'S", "tab\there x", "a b c", "x\u0085y z", "​ a"]
-    coder = token_cache.PieceEncoder(path, joins, lambda e: tuple(e.ids))
+    texts = [t or "" for _, t in docs] + ["a ́b", "İΣ ς", "it's 'S", "tab\there x", "a b c", "x\u0085y z", "​ a", "Don’t can't. WORD!! été, É́ ÉTÉ. ß) ﬁ. Ǆ ᾈ, IJ", "a' b's. x.'", "中文字, 日本"]
+    coder = token_cache.PieceEncoder(path, joins, tuple)
     for t, parts in zip(texts, coder.encode(texts)):
         assert [i for p in parts for i in p] == lib.encode(t, add_special_tokens=False).ids, t
 

@@ -22,6 +22,13 @@ def op2_simhash(spark, sf_dir):
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_suffixes(spark, sf_dir):
+    from .suffixes import dedup
+
+    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"), F.col("_n_spans").alias("n_spans"), F.col("_kept_sha256").alias("kept_sha256"))
+
+
 def op4_packing(spark, sf_dir):
     from .packing import pack
 
@@ -80,7 +87,7 @@ def op10_quality(spark, sf_dir):
 
 
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op4_packing, op5_maxscore, op6_decontamination, op7_token_counts, op8_licenses, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_suffixes, op4_packing, op5_maxscore, op6_decontamination, op7_token_counts, op8_licenses, op9_warc, op10_quality)}
 
 
 def oracle_sql():

@@ -74,7 +74,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col:
     bits = docs
     for c, e in (("_mask", F.lit(None).cast("binary")), ("_items", F.array().cast("array<string>")), ("_n_words", F.lit(0).cast("long"))):
         bits = bits.withColumn(c, e)
-    at = names.index(text_col)
+    at, out_names = names.index(text_col), bits.columns
     for block in range(blocks):
         rows = [(r.i, r.t.encode()) for r in items.where(F.col("block") == block).select("i", "t").toLocalIterator()]
         vocabulary = spark.sparkContext.broadcast({w for _, t in rows for w in words_of(t)})
@@ -101,7 +101,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col:
                     masks.append(mask if old is None else bytes(x | y for x, y in zip(mask, old)))
                     found.append(sorted(got.union(had or ())))
                     sizes.append(len(w))
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(masks, pa.binary()), pa.array(found, pa.list_(pa.string())), pa.array(sizes, pa.int64())], names=bits.columns)
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(masks, pa.binary()), pa.array(found, pa.list_(pa.string())), pa.array(sizes, pa.int64())], names=out_names)
 
         bits = bits.mapInArrow(run, bits.schema)
         if block < blocks - 1:

@@ -128,7 +128,7 @@ def score(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Data
     cut = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     texts = sorted({r.t for r in rows.where(F.col("h") <= F.lit(cut)).dropDuplicates(["h"]).limit(sample).collect()}) if cut is not None else []
     weights, bias = fit_scorer(texts, np.array([post.get(votes(t), 0.5) for t in texts]))
-    shared = spark.sparkContext.broadcast((weights, bias, post))
+    shared, names = spark.sparkContext.broadcast((weights, bias, post)), [*docs.columns, "_posterior", "_score"]
 
     def run(batches):
         w, b0, post = shared.value
@@ -146,7 +146,7 @@ def score(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Data
                 ss.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))
                 if len(known) > 500_000:
                     known = {}
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ps), pa.array(ss)], names=[*docs.columns, "_posterior", "_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ps), pa.array(ss)], names=names)
 
     schema = docs.withColumn("_posterior", F.lit(0.0)).withColumn("_score", F.lit(0.0)).schema
     return docs.mapInArrow(run, schema).withColumn("_keep", F.col("_score") >= 0.5)

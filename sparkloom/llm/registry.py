@@ -86,8 +86,14 @@ def op10_quality(spark, sf_dir):
     return out.select("doc_id", F.col("_posterior").alias("posterior"), F.col("_score").alias("score"), F.col("_keep").alias("keep"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
-    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_suffixes, op4_packing, op5_maxscore, op6_decontamination, op7_token_counts, op8_licenses, op9_warc, op10_quality)}
+    return {f.__name__: f for f in (op1_toxicity, op2_simhash, op3_suffixes, op4_packing, op5_maxscore, op6_decontamination, op7_token_counts, op8_licenses, op9_warc, op10_quality, pipeline)}
 
 
 def oracle_sql():

@@ -66,16 +66,17 @@ def fingerprint(text: bytes | None, shingle: int, words: int = 1) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, f0, f1, ...): one row for each document; words as signed longs."""
+    """(id, h, f0, f1, ...): one row for each document; h hashes the text as it is, words are signed longs."""
 
     def run(batches):
         for b in batches:
             rows = [fingerprint(t, shingle, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
             a = np.array(rows, np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(a[:, w]) for w in range(words))], names=["id", *(f"f{w}" for w in range(words))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(a[:, w]) for w in range(words))], names=["id", "h", *(f"f{w}" for w in range(words))])
 
     cols = ", ".join(f"f{w} long" for w in range(words))
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string")).mapInArrow(run, f"id long, {cols}")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
+    return rows.mapInArrow(run, f"id long, h long, {cols}")
 
 
 def bit_planes(f: np.ndarray) -> np.ndarray:
@@ -209,7 +210,7 @@ def links(nodes: DataFrame, words: int, radius: int, bands, chunk: int = CHUNK)
 def near_duplicates(
     docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, bands=None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """(id, f0.., component): the smallest id reachable over fingerprint links, itself included. Empty input gives no rows."""
+    """(id, h, f0.., component, root): the smallest id reachable over fingerprint links, itself included; root names the class even without ids. Empty input gives no rows."""
     fs = [f"f{w}" for w in range(words)]
     prints = materialise(fingerprints(docs, shingle, words, id_col, text_col), "prints")
     node = F.col("f0") if words == 1 else F.xxhash64(*fs)
@@ -218,5 +219,24 @@ def near_duplicates(
     found = components(links(nodes, words, radius, bands or exact_bands(radius)))
     rooted = nodes.select("node", "low").join(found, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    of = materialise(rooted.join(lows, "root").select("node", "component"), "classes")
-    return prints.join(of, "node", "left").select("id", *fs, "component")
+    of = materialise(rooted.join(lows, "root").select("node", "component", "root"), "classes")
+    return prints.join(of, "node", "left").select("id", "h", *fs, "component", "root")
+
+
+#: For near copies of five-word shingles: 256 bits, keys of 20 neighbouring bits, at most 45 bits apart (a Jaccard similarity of about 0.8).
+WIDE = {"shingle": 5, "words": 4, "radius": 45, "bands": sliding_bands(4, 20, 6)}
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs with one document of each near-duplicate class: that of the smallest id (nulls last), of repeated rows one."""
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **(options or WIDE))
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("h").alias("h"))).alias("k")
+    same = found.groupBy("root", "id", "h").agg(F.count("*").alias("copies"))
+    heads = same.groupBy("root").agg(first).select("root", "k.id", "k.h")
+    heads = heads.join(same, (heads.root == same.root) & heads.id.eqNullSafe(same.id) & (heads.h == same.h)).select(heads.id.alias("_id"), heads.h.alias("_h"), "copies")
+    keyed = docs.withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
+    match = keyed[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    heads = materialise(heads, "heads")
+    once = keyed.join(heads.where("copies = 1"), match, "left_semi")
+    more = keyed.join(heads.where("copies > 1"), match, "left_semi").dropDuplicates([id_col, "_hash"])
+    return once.unionByName(more).drop("_hash")

@@ -37,7 +37,7 @@ STEMS = 24
 
 
 def units(sentence: str) -> list[str]:
-    """What is scored: each word in lower case without edge marks, and runs of single letters joined."""
+    """What is scored: each word in lower case without edge marks, its letters alone, and runs of single letters joined."""
     out, run = [], []
     for w in sentence.lower().split():
         w = w.strip(EDGE)
@@ -49,6 +49,8 @@ def units(sentence: str) -> list[str]:
         run = []
         if w:
             out.append(w)
+            if not w.isalpha() and len(letters := "".join(filter(str.isalpha, w))) >= ORDER:
+                out.append(letters)
     if len(run) >= ORDER:
         out.append("".join(run))
     return out
@@ -152,9 +154,23 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * margin, -30, 30))))
 
 
-def _families(units: set) -> tuple[int, int]:
-    """Two min-hashes: near copies mostly share them, so that a large group of copies counts as few documents."""
-    return min((zlib.crc32(u.encode()) for u in units), default=0), min((zlib.adler32(u.encode()[::-1]) * 2654435761 % (1 << 32) for u in units), default=0)
+def _families(docs: list[set]) -> list[int]:
+    """A number for each document, one for all near copies: documents that share any of eight min-hashes of their long units."""
+    root = list(range(len(docs)))
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    seen: dict = {}
+    for i, us in enumerate(docs):
+        hashes = [zlib.crc32(u.encode()) for u in us if len(u) >= 8]
+        for k in range(8 if hashes else 0):
+            j = seen.setdefault((k, min(h * (2 * k + 1) * 2654435761 % 4294967291 for h in hashes)), i)
+            root[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(len(docs))]
 
 
 def _stems(units: set) -> set:
@@ -164,18 +180,17 @@ def _stems(units: set) -> set:
 
 def _cover(docs: list[tuple[set, int]], most: int = STEMS) -> list[str]:
     """Units that mark toxic documents, best cover of those not yet explained first."""
+    family = _families([u for u, _ in docs])
     docs = [(_stems(u), y) for u, y in docs]
     seen: tuple = ({}, {})
-    families = ([set(), set()], [set(), set()])
-    for u, toxic in docs:
-        f = _families(u)
-        for k in (0, 1):
-            families[toxic][k].add(f[k])
-            for w in u:
-                seen[toxic].setdefault(w, (set(), set()))[k].add(f[k])
-    good, bad = (Counter({w: min(map(len, x)) for w, x in seen[t].items()}) for t in (0, 1))
-    n0, n1 = (max(1, min(map(len, families[t]))) for t in (0, 1))
-    able = {w for w, n in bad.items() if len(w) >= ORDER and n >= 3 and n / n1 > 20 * (good[w] / n0)}
+    for f, (u, toxic) in zip(family, docs):
+        for w in u:
+            seen[toxic].setdefault(w, set()).add(f)
+    good, bad = (Counter({w: len(x) for w, x in seen[t].items()}) for t in (0, 1))
+    n0, n1 = (max(1, len({f for f, (_, y) in zip(family, docs) if y == t})) for t in (0, 1))
+    # by chance alone, not one of all units may look like this: toxic nearly always, and so often
+    chance, bar = -np.log(n1 / (n1 + n0)), np.log(100 * max(1, len(bad)))
+    able = {w for w, n in bad.items() if len(w) >= ORDER and n * chance > bar and n / n1 > 6 * (good[w] / n0)}
     left = [u & able for u, t in docs if t]
     found = []
     while len(found) < most:
@@ -262,7 +277,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with _score (0 to 1) for every row; null and empty texts get the score of no evidence."""
     spark = docs.sparkSession
     at = docs.columns.index(text_col)
-    shared = spark.sparkContext.broadcast(model)
+    shared, names = spark.sparkContext.broadcast(model), [*docs.columns, "_score"]
 
     def run(batches):
         model, known = shared.value, {}
@@ -276,6 +291,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                     new = sorted(set().union(*sets))
                 known.update(zip(new, model.margins(new).tolist()))
                 got = [model.probability(max(map(known.__getitem__, u), default=-1.5)) for u in sets]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=[*docs.columns, "_score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=names)
 
     return docs.mapInArrow(run, docs.withColumn("_score", F.lit(0.0)).schema)

@@ -85,8 +85,10 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_odd_rows(spark):
-    model = toxicity.fit([("you idiot one " + str(i), 1) for i in range(30)] + [("a quiet text here " + str(i), 0) for i in range(60)])
+    filler = lambda i: " ".join(hashlib.md5(f"{i} {k}".encode()).hexdigest()[:6].translate(str.maketrans("0123456789", "ghjklmnpqr")) for k in range(12))
+    model = toxicity.fit([(f"you idiot {filler(i)}", 1) for i in range(40)] + [(f"a quiet text {filler(-i)}", 0) for i in range(1, 100)])
     got = {r.doc_id: r._prob for r in toxicity.score(frame(spark, [(1, None), (2, ""), (3, "what an i-d-i-o-t!"), (4, "i d i o t"), (5, "quiet text"), (6, "idxiot")]).drop("_score"), model).withColumnRenamed("_score", "_prob").collect()}
+    assert model.landmarks and len(set(got.values())) > 2, got
     assert got[1] == got[2] < 0.3 and got[5] < 0.3 and got[3] >= 0.3 and got[4] >= 0.3 and got[6] >= 0.3
     assert toxicity.fit([]).margins(["x"])[0] < 0
 

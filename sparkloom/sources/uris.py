@@ -1,0 +1,82 @@
+"""Source and destination schemes."""
+
+from __future__ import annotations
+
+import re
+from urllib.parse import urlsplit
+
+from pyspark.sql import DataFrame, SparkSession
+
+# Other names of a scheme.
+ALIASES = {"postgresql": "postgres", "postgresql+psycopg2": "postgres", "postgresql+asyncpg": "postgres", "pg": "postgres", "redshift+psycopg2": "redshift", "azure-sql": "azuresql", "gs": "gcs", "ndjson": "jsonl", "md": "motherduck"}
+# Schemes whose rest is a path.
+FILES = {"csv": "csv", "parquet": "parquet", "json": "json", "jsonl": "json", "orc": "orc", "text": "text", "avro": "avro"}
+# Schemes read through a JDBC driver on the class path.
+JDBC = {"postgres": "postgresql", "mysql": "mysql", "mssql": "sqlserver", "oracle": "oracle", "db2": "db2", "redshift": "redshift", "snowflake": "snowflake", "sqlite": "sqlite", "duckdb": "duckdb", "clickhouse": "clickhouse", "databricks": "databricks"}
+#: Schemes that need a connector package.
+CONNECTORS = {"mongodb", "cassandra", "elasticsearch", "influxdb", "bigquery", "kafka", "kinesis"}
+#: Schemes of object stores that Hadoop's own file systems serve.
+STORES = {"s3": "s3a", "gcs": "gs", "adls": "abfss", "sftp": "sftp"}
+SCHEME = re.compile(r"[a-zA-Z][a-zA-Z0-9+._-]*\Z")
+
+
+def normalise(scheme: str) -> str:
+    return ALIASES.get(scheme.lower(), scheme.lower())
+
+
+def problems(uri: str) -> list[str]:
+    """Why a URI is not usable; empty if it is."""
+    if not uri:
+        return ["empty"]
+    scheme, sep, rest = uri.partition("://")
+    if not sep:
+        return ["no ://"]
+    if not SCHEME.match(scheme):
+        return ["bad scheme"]
+    scheme = normalise(scheme)
+    if scheme in FILES or scheme in ("sqlite", "duckdb"):
+        return [] if rest else ["no path"]
+    if scheme not in JDBC and scheme not in CONNECTORS and scheme not in STORES:
+        return [f"unsupported scheme {scheme}"]
+    parts = urlsplit(f"x://{rest}")
+    try:
+        port = parts.port
+    except ValueError:
+        return ["bad port"]
+    out = [] if parts.hostname else ["no host"]
+    return out + (["bad port"] if port == 0 else [])
+
+
+def read(spark: SparkSession, uri: str, **options) -> DataFrame:
+    """A frame for a file, store or JDBC URI. `#format` after a path overrides its ending."""
+    why = problems(uri)
+    if why:
+        raise ValueError(f"{uri}: {', '.join(why)}")
+    scheme, _, rest = uri.partition("://")
+    scheme = normalise(scheme)
+    if scheme in FILES:
+        path, _, hint = rest.partition("#")
+        kind = FILES[normalise(hint)] if hint else FILES[scheme]
+        if kind == "csv":
+            options = {"header": True, "inferSchema": "schema" not in options} | options
+        if scheme == "json":
+            options = {"multiLine": True} | options
+        schema = options.pop("schema", None)
+        reader = spark.read.options(**options)
+        return (reader.schema(schema) if schema else reader).format(kind).load(path)
+    if scheme in STORES:
+        path, _, hint = rest.partition("#")
+        return spark.read.options(**options).format(FILES[normalise(hint or path.rsplit(".", 1)[-1])]).load(f"{STORES[scheme]}://{path}")
+    if scheme in JDBC:
+        return spark.read.format("jdbc").options(url=f"jdbc:{JDBC[scheme]}://{rest}", **options).load()
+    raise NotImplementedError(f"{scheme} needs its connector package on the class path")
+
+
+def write(df: DataFrame, uri: str, mode: str = "errorifexists", partition_by=(), **options) -> None:
+    scheme, _, path = uri.partition("://")
+    kind = FILES.get(normalise(scheme))
+    if kind is None:
+        raise NotImplementedError(f"{scheme} is not a file scheme")
+    if kind == "csv":
+        options = {"header": True} | options
+    df.write.mode(mode).options(**options).partitionBy(*partition_by).format(kind).save(path)

@@ -7,9 +7,11 @@ with the smallest hash, so equal strings have equal anchors at equal places
 and only about one position in length / 4 is stored. Buckets of one suffix are
 done. Within a bucket, suffixes whose whole context is equal are settled by a
 hash of it; the remaining contexts travel to their bucket and are refined
-there: each position's bucket is split by sorting on the bucket identifiers at
-a later offset, the offset doubling as refined identifiers are used again,
-until they stand for `length` bytes. Only buckets that still hold two go on.
+there: every position starts in the bucket of its q-gram, and buckets are split
+by sorting on the identifiers at the offset that the bucket's depth has
+reached, each step using the identifiers of the step before, until they stand
+for `length` bytes. Only buckets that still hold two go on. Identifiers are
+64-bit hashes of q-grams.
 
 A bucket with more than HOT contexts is cut into parts that are refined apart;
 what is single in its part is settled by a shuffle on 128-bit digests of the
@@ -96,43 +98,23 @@ def refine(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Bucket of the `length` bytes from each start, -1 where no other start has them. Starts are places with that much data after them."""
     if len(starts) < 2:
         return np.full(len(starts), -1)
-    live = np.zeros(len(data), bool)
-    delta = np.zeros(len(data) + 1, np.int64)
-    np.add.at(delta, starts, 1)
-    np.add.at(delta, starts + length - 7, -1)
-    live = np.cumsum(delta[:-1]) > 0
-    at = np.nonzero(live)[0]
-    gram = np.zeros(len(at), U)
-    for i in range(8):
-        gram = gram << U(8) | data[at + i].astype(U)
-    _, bucket, size = np.unique(gram, return_inverse=True, return_counts=True)
-    ids = np.zeros(len(data), np.int64)
-    ids[at] = bucket
-    single = np.zeros(len(data), bool)
-    single[at] = size[bucket] == 1
-    depth = 8
-    while depth < length:
-        step = min(depth, length - depth)
-        last = depth + step == length
-        if last:
-            todo = starts[~single[starts]]
-        else:
-            delta[:] = 0
-            np.add.at(delta, starts, 1)
-            np.add.at(delta, np.minimum(starts + length - depth - step + 1, len(delta) - 1), -1)
-            todo = np.nonzero(np.cumsum(delta[:-1]) > 0)[0]
-            gone = todo[single[todo]]
-            todo = todo[~single[todo]]
-        key = ids[todo] * (len(data) + 1) + ids[todo + step if step < depth else todo + depth]
-        _, bucket, size = np.unique(key, return_inverse=True, return_counts=True)
-        new = np.zeros(len(data), np.int64)
-        now = np.ones(len(data), bool)
-        new[todo] = bucket
-        now[todo] = size[bucket] == 1 if len(todo) else False
-        if not last:
-            new[gone] = len(size) + np.arange(len(gone))
-        ids, single, depth = new, now, depth + step
-    return np.where(single[starts], -1, ids[starts])
+    q = length // 2
+    h = _gram_hashes(data, q)
+    _, bucket, size = np.unique(h[starts], return_inverse=True, return_counts=True)
+    at = np.nonzero(size[bucket] > 1)[0]  # a bucket of one is done
+    bucket, depth = bucket[at], q
+    while depth < length and len(at):
+        later = h[starts[at] + min(depth, length - q)]
+        order = np.lexsort((later, bucket))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(bucket[order]) != 0) | (later[order][1:] != later[order][:-1])
+        refined = np.empty(len(order), np.int64)
+        refined[order] = np.cumsum(new) - 1
+        more = np.bincount(refined)[refined] > 1
+        at, bucket, depth = at[more], refined[more], depth + q
+    out = np.full(len(starts), -1)
+    out[at] = bucket
+    return out
 
 
 def _key(text: bytes) -> tuple[int, int]:
@@ -249,15 +231,15 @@ def _refined(rows, length: int, q: int):
     a = np.array([r[5] for r in rows], np.int64)
     place = a[owner] + inner
     # a bucket counts only if two different places are in it
-    place_id = np.unique(np.stack([d[owner, 0], d[owner, 1], place], 1), axis=0, return_inverse=True)[1].reshape(-1) if len(owner) else owner
+    place_id = _mix(_mix(d[owner, 0].view(U), d[owner, 1].view(U)), place.view(U))
     again = np.zeros(len(owner), bool)
     hit = np.nonzero(bucket >= 0)[0]
     if len(hit):
-        low = np.full(bucket.max() + 1, len(place_id) + 1)
-        high = np.full(bucket.max() + 1, -1)
-        np.minimum.at(low, bucket[hit], place_id[hit])
-        np.maximum.at(high, bucket[hit], place_id[hit])
-        again[hit] = low[bucket[hit]] != high[bucket[hit]]
+        order = hit[np.argsort(bucket[hit], kind="stable")]
+        first = np.nonzero(np.concatenate(([True], np.diff(bucket[order]) != 0)))[0]
+        ids = place_id[order]
+        mixed = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first)
+        again[order] = np.repeat(mixed, np.diff(np.concatenate((first, [len(order)]))))
     edge = np.nonzero(again)[0]
     out = []
     if len(edge):

@@ -16,7 +16,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,22 @@ ORDER = 4
 DECAY = 0.6
 #: Labelled documents that the classifier is fitted on, by smallest hash of the id.
 SAMPLE = 6000
-LANDMARKS = 28
+LANDMARKS = 32
 SPLIT = re.compile(r"[.!?\n]+(?=\s|\Z)")
 EDGE = ".,;:!?\"'()[]{}<>*#$%&-_~|/\\“”«»…"
-LONGEST = 40
-#: The beginning of a longer unit is scored beside the whole.
+#: Letters of a word that count.
 STEM = 7
 STEMS = 24
+#: Units whose kernel rows are found at once.
+PARTS = 4096
+#: Clean training documents that set the cut, and a third as many toxic ones.
+CALIBRATION = 1500
+_known: dict = {}
 
 
 def units(sentence: str) -> list[str]:
-    """What is scored: each word in lower case without edge marks, its letters alone, and runs of single letters joined."""
+    """What is scored: each word in lower case without edge marks, its letters alone, and runs of single letters joined; all
+    cut to STEM letters after a mark for the word's beginning, as insults are inflected at their end."""
     out, run = [], []
     for w in sentence.lower().split():
         w = w.strip(EDGE)
@@ -53,13 +59,13 @@ def units(sentence: str) -> list[str]:
                 out.append(letters)
     if len(run) >= ORDER:
         out.append("".join(run))
-    return out
+    return ["^" + w[:STEM] for w in out]
 
 
 def kernel(xs: list[str], ys: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
     """Normalised gap-weighted subsequence kernel of every x with every y."""
     raw = _raw(xs, ys, order, decay)
-    own_y = np.array([_raw([y], [y], order, decay)[0, 0] for y in ys])
+    own_y = np.array([_own(y, order, decay) for y in ys])
     own_x = np.ones(len(xs))
     hit = np.nonzero(raw.any(1))[0]
     if len(hit):
@@ -68,24 +74,39 @@ def kernel(xs: list[str], ys: list[str], order: int = ORDER, decay: float = DECA
     return np.divide(raw, d, out=np.zeros_like(raw), where=d > 0)
 
 
+@lru_cache(4096)
+def _own(y: str, order: int, decay: float) -> float:
+    return float(_raw([y], [y], order, decay)[0, 0])
+
+
 def _raw(xs, ys, order, decay) -> np.ndarray:
-    """Kernel before normalising; zero where x lacks more than one of y's letters, which no mere gap or insertion causes."""
+    """Kernel before normalising; zero where x lacks more than one of y's letters in their order, which no mere gap or insertion causes."""
     out = np.zeros((len(xs), len(ys)))
-    bits = np.bitwise_or.reduce(np.left_shift(np.uint64(1), (_codes(xs) % 61 + 2).astype(np.uint64)) * (_codes(xs) > 0), axis=1) if xs else np.zeros(0, np.uint64)
+    if not xs:
+        return out
+    a = np.minimum(_codes(xs), 0xFFFF)
     for j, y in enumerate(ys):
-        have = sum((bits >> np.uint64(ord(c) % 61 + 2) & np.uint64(1)).astype(np.int64) for c in y)
-        at = np.nonzero(have >= max(order, len(y) - 1))[0]
+        at = np.nonzero(_common(a, y) >= max(order, len(y) - 1))[0]
         if len(at):
             out[at, j] = _against([xs[i] for i in at], y, order, decay)
     return out
 
 
+def _common(a: np.ndarray, y: str) -> np.ndarray:
+    """Length of the longest common subsequence of y with each row of letters, bit-parallel."""
+    holds = np.zeros(0x10000, np.uint64)
+    for i, c in enumerate(y):
+        holds[min(ord(c), 0xFFFF)] |= np.uint64(1 << i)
+    v = np.full(len(a), (1 << len(y)) - 1, np.uint64)
+    for p in range(a.shape[1]):
+        u = v & holds[a[:, p]]
+        v = (v + u) | (v - u)
+    return len(y) - np.bitwise_count(v & np.uint64((1 << len(y)) - 1)).astype(np.int64)
+
+
 def _codes(xs):
     n = max(map(len, xs))
-    a = np.zeros((len(xs), n), np.int32)
-    for i, x in enumerate(xs):
-        a[i, : len(x)] = [ord(c) for c in x]
-    return a
+    return np.frombuffer("".join(x.ljust(n, "\0") for x in xs).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(xs), n).astype(np.int32)
 
 
 def _against(xs, y, order, decay) -> np.ndarray:
@@ -130,32 +151,27 @@ class Model:
     root: np.ndarray
     weights: np.ndarray
     bias: float
+    cut: float = 0.0
     slope: float = 3.0
 
     def margins(self, xs: list[str]) -> np.ndarray:
-        """SVM margin of each unit; long units are cut into overlapping parts and the largest counts."""
+        """SVM margin of each unit."""
         if not self.landmarks or not xs:
             return np.full(len(xs), self.bias)
-        parts, owner = [], []
-        for i, x in enumerate(xs):
-            for part in [x[a : a + LONGEST] for a in range(0, max(1, len(x) - LONGEST // 2), LONGEST // 2)] + [x[:STEM]] * (len(x) > STEM):
-                parts.append(part)
-                owner.append(i)
-        order = sorted(range(len(parts)), key=lambda i: len(parts[i]))
-        got = np.full(len(parts), 0.0)
-        for k in range(0, len(order), 512):
-            at = order[k : k + 512]
-            got[at] = kernel([parts[i] for i in at], list(self.landmarks)) @ self.root @ self.weights + self.bias
-        out = np.full(len(xs), -np.inf)
-        np.maximum.at(out, owner, got)
+        order = sorted(range(len(xs)), key=lambda i: len(xs[i]))
+        out = np.zeros(len(xs))
+        for k in range(0, len(order), PARTS):
+            at = order[k : k + PARTS]
+            out[at] = kernel([xs[i] for i in at], list(self.landmarks)) @ self.root @ self.weights + self.bias
         return out
 
     def probability(self, margin: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * margin, -30, 30))))
+        """0.3 at the cut that parts the training documents best."""
+        return float(1 / (1 + np.exp(-np.clip(self.slope * (margin - self.cut) + np.log(3 / 7), -30, 30))))
 
 
 def _families(docs: list[set]) -> list[int]:
-    """A number for each document, one for all near copies: documents that share any of eight min-hashes of their long units."""
+    """A number for each document, one for all near copies: documents that share four min-hashes of their longer units in a row."""
     root = list(range(len(docs)))
 
     def top(i):
@@ -165,17 +181,21 @@ def _families(docs: list[set]) -> list[int]:
         return i
 
     seen: dict = {}
+    turns = (np.arange(16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     for i, us in enumerate(docs):
-        hashes = [zlib.crc32(u.encode()) for u in us if len(u) >= 8]
-        for k in range(8 if hashes else 0):
-            j = seen.setdefault((k, min(h * (2 * k + 1) * 2654435761 % 4294967291 for h in hashes)), i)
-            root[max(top(i), top(j))] = min(top(i), top(j))
+        hashes = np.array([zlib.crc32(u.encode()) for u in us if len(u) >= 6], np.uint64)
+        if len(hashes):
+            x = hashes[:, None] * turns
+            low = ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).min(0).tolist()
+            for k in range(0, 16, 4):
+                j = seen.setdefault((k, *low[k : k + 4]), i)
+                root[max(top(i), top(j))] = min(top(i), top(j))
     return [top(i) for i in range(len(docs))]
 
 
 def _stems(units: set) -> set:
     """Units and their beginnings: insults are inflected."""
-    return {u[:n] for u in units for n in range(ORDER, 10) if len(u) >= n} | {u for u in units if ORDER <= len(u) <= LONGEST}
+    return {u[:n] for u in units for n in range(ORDER + 1, STEM + 2) if len(u) >= n}
 
 
 def _cover(docs: list[tuple[set, int]], most: int = STEMS) -> list[str]:
@@ -190,7 +210,7 @@ def _cover(docs: list[tuple[set, int]], most: int = STEMS) -> list[str]:
     n0, n1 = (max(1, len({f for f, (_, y) in zip(family, docs) if y == t})) for t in (0, 1))
     # by chance alone, not one of all units may look like this: toxic nearly always, and so often
     chance, bar = -np.log(n1 / (n1 + n0)), np.log(100 * max(1, len(bad)))
-    able = {w for w, n in bad.items() if len(w) >= ORDER and n * chance > bar and n / n1 > 6 * (good[w] / n0)}
+    able = {w for w, n in bad.items() if len(w) >= ORDER and n * chance > bar and n / n1 > 20 * (good[w] + 1) / n0}
     left = [u & able for u, t in docs if t]
     found = []
     while len(found) < most:
@@ -222,12 +242,12 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     seeds = _cover([({u for s in ss for u in s}, y) for ss, y in docs])
     if not seeds:
         return Model((), np.zeros((0, 0)), np.zeros(0), -1.5)
-    clean = Counter(u for ss, y in docs if not y for s in ss for u in s if ORDER <= len(u) <= LONGEST)
+    clean = Counter(u for ss, y in docs if not y for s in ss for u in s if len(u) > ORDER)
     names = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
-    pool = names[:4000]
-    near = kernel(pool, seeds).max(1) if pool else np.zeros(0)
-    hard = [pool[i] for i in np.argsort(-near, kind="stable")[: max(0, (landmarks - len(seeds)) // 2)]]
-    marks = seeds + hard
+    pool = names[:60_000]
+    near = np.concatenate([kernel(pool[i : i + PARTS], seeds).max(1) for i in range(0, len(pool), PARTS)]) if pool else np.zeros(0)
+    hard = [pool[i] for i in np.argsort(-near, kind="stable") if near[i] > 0.2][:3000]
+    marks = seeds + hard[: max(0, (landmarks - len(seeds)) * 2 // 3)]
     marks += [w for w in names[:200] if w not in set(marks)][: max(0, landmarks - len(marks))]
     k = kernel(marks, marks)
     value, vector = np.linalg.eigh((k + k.T) / 2)
@@ -237,24 +257,36 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     toxic = [w for w, _ in sorted(Counter(toxic).items(), key=lambda x: (-x[1], x[0]))[:400]]
     worn = []
     for w in seeds:  # the same insults as they come with inserted marks and letters
-        worn += [c.join(w) for c in ".-*"] + [w[:i] + c + w[i:] for i in range(2, len(w) - 1) for c in "-x"]
-    far = pool[:1500] + names[4000:: max(1, len(names) // 1500)]
-    toxic = list(dict.fromkeys(toxic + [u[:STEM] for u in toxic]))
-    far += [w[:STEM] for w in far[::2] if len(w) > STEM]
-    xs = toxic * 10 + worn + far + hard * 3
+        worn += [("^" + c.join(w[1:]))[: STEM + 1] for c in ".-*"] + [(w[:i] + c + w[i:])[: STEM + 1] for i in range(2, len(w) - 1) for c in "-x"]
+    far = pool[:1500] + names[1500 :: max(1, len(names) // 1500)]
+    hard = hard * max(1, min(20, 3000 // max(1, len(hard))))
+    xs = toxic * 10 + worn + far + hard
     ys = np.array([1.0] * (10 * len(toxic) + len(worn)) + [-1.0] * (len(xs) - 10 * len(toxic) - len(worn)))
     base = {x: i for i, x in enumerate(dict.fromkeys(xs))}
-    rows_k = np.concatenate([kernel(list(base)[i : i + 512], marks) for i in range(0, len(base), 512)])
+    names = sorted(base, key=lambda x: (len(x), x))
+    rows_k = np.concatenate([kernel(names[i : i + PARTS], marks) for i in range(0, len(names), PARTS)])
+    base = {x: i for i, x in enumerate(names)}
     z = (rows_k @ root)[[base[x] for x in xs]]
     weight = np.where(ys > 0, len(ys) / (2 * max(1, (ys > 0).sum())), len(ys) / (2 * max(1, (ys < 0).sum())))
     w, b, lam = np.zeros(z.shape[1]), 0.0, 1e-4
-    for t in range(1, 1501):
+    for t in range(1, 3001):
         m = ys * (z @ w + b)
         pull = np.where(m < 1, weight * ys, 0)
         rate = 2.0 / np.sqrt(t)
         w -= rate * (lam * w - pull @ z / len(ys))
         b += rate * pull.sum() / len(ys)
-    return Model(tuple(marks), root, w, float(b))
+    model = Model(tuple(marks), root, w, float(b))
+    own = [({u for s in ss for u in s}, y) for ss, y in docs]
+    some = [d for d in own if d[1]][: CALIBRATION // 3] + [d for d in own if not d[1]][: CALIBRATION]
+    every = sorted(set().union(*(u for u, _ in some)))
+    known = dict(zip(every, model.margins(every).tolist()))
+    worst = sorted((max(map(known.__getitem__, u), default=-1.5), y) for u, y in some)
+    m, y = np.array([x for x, _ in worst]), np.array([t for _, t in worst])
+    wrong = np.concatenate(([(y == 0).sum()], (y == 0).sum() + np.cumsum(np.where(y == 1, 1, -1))))[1:-1]
+    gaps = np.nonzero((wrong == wrong.min()) & (np.diff(m) > 0) if (np.diff(m) > 0).any() else wrong == wrong.min())[0] if len(wrong) else []
+    best = max(gaps, key=lambda i: m[i + 1] - m[i], default=None)
+    cut = 0.0 if best is None else float((m[best] + m[best + 1]) / 2)
+    return replace(model, cut=float(np.clip(cut, -0.5, 0.9)))
 
 
 def score_text(model: Model, text: str | None, known: dict[str, float]) -> float:
@@ -280,14 +312,19 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared, names = spark.sparkContext.broadcast(model), [*docs.columns, "_score"]
 
     def run(batches):
-        model, known = shared.value, {}
+        model = shared.value
+        key = (model.landmarks, model.bias)
+        if key not in _known:  # a worker serves many tasks
+            _known.clear()
+            _known[key] = {}
+        known = _known[key]
         for b in batches:
             for k in range(0, b.num_rows, 512):
                 part = b.slice(k, 512)
                 sets = [{u for s in SPLIT.split(t or "") for u in units(s)} for t in part.column(at).cast(pa.string()).to_pylist()]
                 new = sorted(set().union(*sets) - known.keys())
                 if len(known) + len(new) > 500_000:
-                    known = {}
+                    known.clear()
                     new = sorted(set().union(*sets))
                 known.update(zip(new, model.margins(new).tolist()))
                 got = [model.probability(max(map(known.__getitem__, u), default=-1.5)) for u in sets]

@@ -11,15 +11,21 @@ def daily(orders: DataFrame, day: str = "o_orderdate", amount: str = "o_totalpri
     return orders.groupBy(F.to_date(day).alias("order_date")).agg(F.count("*").alias("n"), F.sum(F.col(amount).cast("decimal(18,2)")).cast("double").alias("gmv"), F.count_distinct(user).alias("dau"))
 
 
-def rfm(orders: DataFrame, user: str = "o_custkey", day: str = "o_orderdate", amount: str = "o_totalprice", tiles: int = 5) -> DataFrame:
+def rfm(orders: DataFrame, user: str = "o_custkey", day: str = "o_orderdate", amount: str = "o_totalprice", tiles: int = 5, one_task: int = 2_000_000) -> DataFrame:
     """Recency, frequency and money scores of each buyer, 1 to `tiles`, and a segment; ties by user.
 
-    Tiles come from exact ranks: a value's rank is the number of buyers before
-    it plus its place among equals, so no window holds all buyers in a task.
+    Up to `one_task` buyers are ranked by plain windows, one slim row each.
+    Beyond, tiles come from exact ranks: a value's rank is the number of buyers
+    before it plus its place among equals, so no task holds all buyers.
     """
     per = orders.groupBy(F.col(user).alias("user_id")).agg(F.max(day).alias("last"), F.count("*").alias("frequency"), F.sum(F.col(amount).cast("decimal(18,2)")).alias("monetary"))
+    scores = (("last", "r_score"), ("frequency", "f_score"), ("monetary", "m_score"))
+    if one_task and orders.agg(F.approx_count_distinct(user)).first()[0] <= one_task:
+        for c, name in scores:
+            per = per.withColumn(name, F.ntile(tiles).over(Window.orderBy(c, "user_id")))
+        return _segments(per, tiles)
     n = orders.agg(F.count_distinct(user).alias("__n"))
-    for c, name in (("last", "r_score"), ("frequency", "f_score"), ("monetary", "m_score")):
+    for c, name in scores:
         sizes = per.groupBy(c).agg(F.count("*").alias("__k"))
         parts = sizes.repartitionByRange(c).withColumn("__p", F.spark_partition_id())
         totals = parts.groupBy("__p").agg(F.sum("__k").alias("__t"))
@@ -32,6 +38,10 @@ def rfm(orders: DataFrame, user: str = "o_custkey", day: str = "o_orderdate", am
         big = extra * (size + 1)
         tile = F.when(F.col("__r") < big, F.floor(F.col("__r") / (size + 1))).otherwise(extra + F.floor((F.col("__r") - big) / F.greatest(size, F.lit(1))))
         per = per.withColumn(name, (tile + 1).cast("int")).drop("__a", "__r", "__n")
+    return _segments(per, tiles)
+
+
+def _segments(per: DataFrame, tiles: int) -> DataFrame:
     strong = lambda c: F.col(c) >= tiles - 1
     segment = F.when(strong("r_score") & strong("f_score") & strong("m_score"), "champions").when(strong("r_score") & strong("f_score"), "loyal").when(strong("r_score"), "recent").when(strong("m_score"), "big spenders").when((F.col("r_score") <= 2) & (F.col("f_score") <= 2), "lost").otherwise("regular")
     return per.select("user_id", "r_score", "f_score", "m_score", segment.alias("segment"))

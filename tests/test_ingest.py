@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import dialect as X
 from sparkloom.operators import aggs, dml, ingest, joins
+from sparkloom.plans import metrics
 from sparkloom.sources import uris
 from sparkloom.streaming import feeds
 
@@ -133,3 +134,8 @@ def test_summary_and_inference(spark):
     assert ingest.infer(df).simpleString() == "struct<a:bigint,b:double,c:string>"
     got = {r.column_name: r for r in aggs.summarize(spark.createDataFrame([(1, "u"), (3, None)], "n int, s string")).collect()}
     assert got["n"].avg == 2 and got["s"].null_percentage == 50 and got["s"]["count"] == 2
+
+
+def test_rfm_by_ranks_equals_rfm_by_windows(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert rows(metrics.rfm(orders)) == rows(metrics.rfm(orders, one_task=0))

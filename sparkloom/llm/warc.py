@@ -84,8 +84,17 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, id_col: str = "
     """
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
-    rows = rows.withColumn("sha", F.sha1("body")).withColumn("n", F.octet_length("body").cast("long"))
-    firsts = rows.where(F.col("n") >= least).groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("copies"))
+
+    def shrink(batches):  # payloads travel compressed
+        press = zstandard.ZstdCompressor(level=1)
+        for b in batches:
+            raw = b.column(2).cast(pa.binary()).to_pylist()
+            cols = [pa.array(map(press.compress, raw), pa.binary()), pa.array([hashlib.sha1(x).hexdigest() for x in raw], pa.string()), pa.array(map(len, raw), pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["page", "url", "body", "sha", "n"])
+
+    slim_rows = rows.select("page", F.sha1("body").alias("sha"), F.octet_length("body").cast("long").alias("n"))
+    rows = rows.mapInArrow(shrink, "page long, url string, body binary, sha string, n long")
+    firsts = slim_rows.where(F.col("n") >= least).groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("copies"))
     firsts = firsts.where("copies > 1")
     alone = rows.join(firsts, "sha", "left")
     slim = F.when(F.col("copies").isNull() | F.col("page").eqNullSafe(F.col("first")), F.col("body"))
@@ -98,7 +107,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, id_col: str = "
     def run(batches):
         system, root = _fs(folder)
         system.create_dir(root, recursive=True)
-        press = zstandard.ZstdCompressor(level=3)
+        press, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         state = {"name": None, "out": None, "at": 0, "sizes": [], "frame": [], "plain": 0, "rows": []}
 
         def flush_frame():
@@ -130,7 +139,7 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, id_col: str = "
                     state["out"] = system.open_output_stream(f"{root}/{state["name"]}", compression=None)
                 rid = str(uuid.uuid4())
                 kind = "revisit" if r["revisit"] else "response"
-                raw = record(kind, r["url"], rid, r["page"], (r["body"] or "").encode(), r["n"], base64.b32encode(bytes.fromhex(r["sha"])).decode(), r["first"])
+                raw = record(kind, r["url"], rid, r["page"], unpack.decompress(r["body"]) if r["body"] else b"", r["n"], base64.b32encode(bytes.fromhex(r["sha"])).decode(), r["first"])
                 state["pending"].append((rid, state["plain"], len(raw)))
                 state["frame"].append(raw)
                 state["plain"] += len(raw)

@@ -18,6 +18,7 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass, replace
 from functools import lru_cache
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 ORDER = 4
 DECAY = 0.6
 #: Labelled documents that the classifier is fitted on, by smallest hash of the id.
-SAMPLE = 6000
+SAMPLE = 4000
 LANDMARKS = 32
 SPLIT = re.compile(r"[.!?\n]+(?=\s|\Z)")
 EDGE = ".,;:!?\"'()[]{}<>*#$%&-_~|/\\“”«»…"
@@ -201,17 +202,21 @@ def _stems(units: set) -> set:
 def _cover(docs: list[tuple[set, int]], most: int = STEMS) -> list[str]:
     """Units that mark toxic documents, best cover of those not yet explained first."""
     family = _families([u for u, _ in docs])
-    docs = [(_stems(u), y) for u, y in docs]
-    seen: tuple = ({}, {})
+    bad, good = {}, {}
     for f, (u, toxic) in zip(family, docs):
-        for w in u:
-            seen[toxic].setdefault(w, set()).add(f)
-    good, bad = (Counter({w: len(x) for w, x in seen[t].items()}) for t in (0, 1))
+        for w in _stems(u) if toxic else ():
+            bad.setdefault(w, set()).add(f)
+    tried = max(1, len(bad))
+    bad = {w: len(x) for w, x in bad.items() if len(x) >= 3}
+    for f, (u, toxic) in zip(family, docs):
+        for w in () if toxic else _stems(u) & bad.keys():
+            good.setdefault(w, set()).add(f)
+    good = Counter({w: len(x) for w, x in good.items()})
     n0, n1 = (max(1, len({f for f, (_, y) in zip(family, docs) if y == t})) for t in (0, 1))
     # by chance alone, not one of all units may look like this: toxic nearly always, and so often
-    chance, bar = -np.log(n1 / (n1 + n0)), np.log(100 * max(1, len(bad)))
+    chance, bar = -np.log(n1 / (n1 + n0)), np.log(100 * tried)
     able = {w for w, n in bad.items() if len(w) >= ORDER and n * chance > bar and n / n1 > 20 * (good[w] + 1) / n0}
-    left = [u & able for u, t in docs if t]
+    left = [_stems(u) & able for u, t in docs if t]
     found = []
     while len(found) < most:
         tally = Counter()
@@ -238,11 +243,11 @@ def _cover(docs: list[tuple[set, int]], most: int = STEMS) -> list[str]:
 
 def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     """Train on (text, toxic) rows. Without both classes every score is that of an untrained, clean verdict."""
-    docs = [([units(s) for s in SPLIT.split(t or "")], y) for t, y in rows]
-    seeds = _cover([({u for s in ss for u in s}, y) for ss, y in docs])
+    docs = [({intern(u) for s in SPLIT.split(t or "") for u in units(s)}, y) for t, y in rows]
+    seeds = _cover(docs)
     if not seeds:
         return Model((), np.zeros((0, 0)), np.zeros(0), -1.5)
-    clean = Counter(u for ss, y in docs if not y for s in ss for u in s if len(u) > ORDER)
+    clean = Counter(u for us, y in docs if not y for u in us if len(u) > ORDER)
     names = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
     pool = names[:60_000]
     near = np.concatenate([kernel(pool[i : i + PARTS], seeds).max(1) for i in range(0, len(pool), PARTS)]) if pool else np.zeros(0)
@@ -253,7 +258,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     value, vector = np.linalg.eigh((k + k.T) / 2)
     keep = value > 1e-6
     root = vector[:, keep] / np.sqrt(value[keep])
-    toxic = [u for ss, y in docs if y for s in ss for u in s if any(u.startswith(x) for x in seeds)]
+    toxic = [u for us, y in docs if y for u in us if u.startswith(tuple(seeds))]
     toxic = [w for w, _ in sorted(Counter(toxic).items(), key=lambda x: (-x[1], x[0]))[:400]]
     worn = []
     for w in seeds:  # the same insults as they come with inserted marks and letters
@@ -276,8 +281,7 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
         w -= rate * (lam * w - pull @ z / len(ys))
         b += rate * pull.sum() / len(ys)
     model = Model(tuple(marks), root, w, float(b))
-    own = [({u for s in ss for u in s}, y) for ss, y in docs]
-    some = [d for d in own if d[1]][: CALIBRATION // 3] + [d for d in own if not d[1]][: CALIBRATION]
+    some = [d for d in docs if d[1]][: CALIBRATION // 3] + [d for d in docs if not d[1]][: CALIBRATION]
     every = sorted(set().union(*(u for u, _ in some)))
     known = dict(zip(every, model.margins(every).tolist()))
     worst = sorted((max(map(known.__getitem__, u), default=-1.5), y) for u, y in some)

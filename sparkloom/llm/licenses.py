@@ -1,14 +1,18 @@
 """Licence scan: Dice coefficient over word bigrams, in built-in functions only.
 
-A document's lines and its whole text are candidates. A candidate's word
-count bounds its number of bigrams, and a template is tried only where
-that bound still lets the coefficient reach the threshold.
+A document's lines and its whole text are candidates. A template is
+tried only where the number of bigrams still lets the coefficient reach the
+threshold, and bigrams are formed only where a word occurs without which no
+template can.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +39,19 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
 
 
+def telling_words(grams: list[str], threshold: float) -> list[str]:
+    """Words of which a text must hold one at least to reach the threshold: without them too few bigrams are left to share."""
+    least = math.ceil(threshold / 2 * (len(grams) + math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)) - 1e-9)
+    rest, out = set(grams), []
+    for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+        if len(rest) < least:
+            break
+        if gone := {g for g in rest if w in g.split()}:
+            rest -= gone
+            out.append(w)
+    return out
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), PARTS), lambda w: w != "")
 
@@ -68,14 +85,17 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         return F.array_max(F.array(*tried))
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    sized = F.filter(F.transform(F.split(text, "\n"), _words), lambda w: F.size(w) >= F.lit(least + 1))
+    telling = sorted({w for v in sets.values() for w in telling_words(v, threshold)})
+    tells = lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in telling))
+    told = F.filter(F.split(F.lower(text), "\n"), tells)
+    sized = F.filter(F.transform(told, _words), lambda w: F.size(w) >= F.lit(least + 1))
     lines = F.transform(sized, _bigrams)
     lines = F.filter(lines, lambda b: (F.size(b) >= F.lit(least)) & (F.size(b) <= F.lit(most)))
     found = F.filter(F.transform(lines, score), lambda s: s.isNotNull())
     names = F.array(*map(F.lit, sets))
     out = docs.withColumn("_found", found)
     # the whole text counts beside its lines only if it has several
-    whole = F.when((F.instr(text, "\n") > 0) & (F.length(text) <= 64 * (most + 1)), score(_bigrams(_words(text))))
+    whole = F.when((F.instr(text, "\n") > 0) & tells(F.lower(text)), score(_bigrams(_words(text))))
     best = F.array_max(F.concat(F.col("_found"), F.array(whole)))
     out = out.withColumn("_best", best)
     return out.select(

@@ -11,8 +11,6 @@ from __future__ import annotations
 import math
 import re
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +30,8 @@ TEMPLATES = {
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 PARTS = "[^a-z0-9]+"
+#: Words too common to tell anything; tried last.
+COMMON = frozenset("a an and any be by can for in is may not of that the this to under with you your".split())
 
 
 def bigrams(text: str) -> list[str]:
@@ -43,7 +43,7 @@ def telling_words(grams: list[str], threshold: float) -> list[str]:
     """Words of which a text must hold one at least to reach the threshold: without them too few bigrams are left to share."""
     least = math.ceil(threshold / 2 * (len(grams) + math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)) - 1e-9)
     rest, out = set(grams), []
-    for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (-len(w), w)):
+    for w in sorted({w for g in grams for w in g.split()}, key=lambda w: (w in COMMON, -len(w), w)):
         if len(rest) < least:
             break
         if gone := {g for g in rest if w in g.split()}:
@@ -86,7 +86,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     telling = sorted({w for v in sets.values() for w in telling_words(v, threshold)})
-    tells = lambda t: reduce(lambda a, b: a | b, (F.contains(t, F.lit(w)) for w in telling))
+    tells = lambda t: t.rlike(f"(?<![a-z0-9])(?:{'|'.join(telling)})(?![a-z0-9])")
     told = F.filter(F.split(F.lower(text), "\n"), tells)
     sized = F.filter(F.transform(told, _words), lambda w: F.size(w) >= F.lit(least + 1))
     lines = F.transform(sized, _bigrams)

@@ -87,22 +87,25 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     telling = sorted({w for v in sets.values() for w in telling_words(v, threshold)})
     tells = lambda t: t.rlike(f"(?<![a-z0-9])(?:{'|'.join(telling)})(?![a-z0-9])")
-    told = F.filter(F.split(F.lower(text), "\n"), tells)
-    sized = F.filter(F.transform(told, _words), lambda w: F.size(w) >= F.lit(least + 1))
-    lines = F.transform(sized, _bigrams)
-    lines = F.filter(lines, lambda b: (F.size(b) >= F.lit(least)) & (F.size(b) <= F.lit(most)))
-    found = F.filter(F.transform(lines, score), lambda s: s.isNotNull())
+    lower, least_words, most_words = F.lower(text), F.lit(least + 1), F.lit(most + 1)
+
+    def found(parts: Column) -> Column:
+        """Best template of each part that has one; n distinct words give n - 1 distinct bigrams at least."""
+        words = F.filter(F.transform(parts, _words), lambda w: (F.size(w) >= least_words) & (F.size(F.array_distinct(w)) <= most_words))
+        grams = F.filter(F.transform(words, _bigrams), lambda b: (F.size(b) >= F.lit(least)) & (F.size(b) <= F.lit(most)))
+        return F.filter(F.transform(grams, score), lambda s: s.isNotNull())
+
+    # parts are lambda variables, so that each is split once; the whole text counts beside its lines only if it has several
+    lines = found(F.filter(F.split(lower, "\n"), tells))
+    whole = found(F.filter(F.array(lower), lambda t: F.instr(t, "\n") > 0))
+    out = docs.withColumn("_found", F.when(tells(lower), F.struct(lines.alias("lines"), whole.alias("whole"))))
     names = F.array(*map(F.lit, sets))
-    out = docs.withColumn("_found", found)
-    # the whole text counts beside its lines only if it has several
-    whole = F.when((F.instr(text, "\n") > 0) & tells(F.lower(text)), score(_bigrams(_words(text))))
-    best = F.array_max(F.concat(F.col("_found"), F.array(whole)))
-    out = out.withColumn("_best", best)
+    out = out.withColumn("_best", F.array_max(F.concat("_found.lines", "_found.whole")))
     return out.select(
         *docs.columns,
         F.when(F.col("_best").isNotNull(), F.element_at(names, 1 - F.col("_best.i"))).alias("_license"),
         F.coalesce(F.col("_best.s"), F.lit(0.0)).alias("_score"),
-        F.size("_found").cast("long").alias("_n_matches"),
+        F.when(F.col("_found").isNull(), 0).otherwise(F.size("_found.lines")).cast("long").alias("_n_matches"),
     )
 
 

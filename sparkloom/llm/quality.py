@@ -138,9 +138,10 @@ def score(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Data
             for t in b.column(at).cast(pa.string()).to_pylist():
                 t = t or ""
                 words = t.split()
-                for x in set(words) - known.keys():
-                    i, j = features(x)
-                    known[x] = w[i] + w[j]
+                for x in words:  # not a difference with known's keys, which goes through all of them for each text
+                    if x not in known:
+                        i, j = features(x)
+                        known[x] = w[i] + w[j]
                 z = sum(map(known.__getitem__, words)) / max(1, len(words)) + b0
                 ps.append(post.get(votes(t), 0.5))
                 ss.append(float(1 / (1 + np.exp(-np.clip(z, -30, 30)))))

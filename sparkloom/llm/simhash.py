@@ -44,25 +44,33 @@ def sliding_bands(words: int, width: int, step: int) -> list[list[tuple[int, int
     return [[(w, s, width)] for w in range(words) for s in range(0, 64 - width + 1, step)]
 
 
-def fingerprint(text: bytes | None, shingle: int, words: int = 1) -> list[int]:
-    """Fingerprint words of one UTF-8 text: A-Z lower-cased, split at ASCII white space."""
+def shingled(text: bytes | None, shingle: int, words: int = 1) -> tuple[list[int], np.ndarray]:
+    """Fingerprint words of one UTF-8 text and its distinct shingles as sorted hashes: A-Z lower-cased, split at ASCII white space."""
     parts = (text or b"").lower().split()
     if not parts:
-        return [0] * words
+        return [0] * words, np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(parts))
     pairs = list(zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist()))
-    out = []
-    for w in range(words):
-        digest = xxhash.xxh64_intdigest
+    out, distinct = [], None
+    digest = xxhash.xxh64_intdigest
+    for w in range(max(1, words)):
         h = np.fromiter((digest(joined[a:b], SEED + w) for a, b in pairs), np.uint64, len(pairs))
+        distinct = np.unique(h) if distinct is None else distinct
+        if w == words:
+            break
         ones = np.zeros(64, np.int64)
         for i in range(0, len(h), 65536):
             ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]))
-    return out
+    return out, distinct
+
+
+def fingerprint(text: bytes | None, shingle: int, words: int = 1) -> list[int]:
+    """Fingerprint words of one UTF-8 text."""
+    return shingled(text, shingle, words)[0]
 
 
 def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,13 +231,153 @@ def near_duplicates(
     return prints.join(of, "node", "left").select("id", "h", *fs, "component", "root")
 
 
-#: For near copies of five-word shingles: 256 bits, keys of 20 neighbouring bits, at most 45 bits apart (a Jaccard similarity of about 0.8).
+#: For near copies of five-word shingles: 256 bits, keys of 20 neighbouring bits, at most 45 bits apart. They only group most copies early.
 WIDE = {"shingle": 5, "words": 4, "radius": 45, "bands": sliding_bands(4, 20, 6)}
+#: Near copies share this part of their shingles at least: NEAR[0] of NEAR[1].
+NEAR = (4, 5)
+#: Counters of the shingles' frequency, and one of how many texts is counted. Both set the order of shingles only, never which pairs are found.
+COUNTERS = 1 << 18
+COUNTED = 8
+#: Rows of one shingle that meet in a task are twice as many at most.
+MEET = 2048
+
+
+def _node(distinct: np.ndarray) -> int:
+    """Identity of a set of shingles, as a signed long."""
+    return int(np.uint64(xxhash.xxh64_intdigest(distinct.tobytes(), SEED)).view(np.int64))
+
+
+def _frequency(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Texts for each counter of shingle hashes, from one of COUNTED texts."""
+
+    def run(batches):
+        n = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for t in b.column(0).cast(pa.binary()).to_pylist():
+                np.add.at(n, (shingled(t, shingle, 0)[1] % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.nonzero(n)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("h", F.lit(5)), F.lit(COUNTED)) == 0).select("t")
+    out = np.zeros(COUNTERS, np.int64)
+    for r in some.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # COUNTERS rows at most
+        out[r.at] = r.n
+    return out
+
+
+def _prefixes(texts: DataFrame, shingle: int, words: int) -> DataFrame:
+    """(id, h, f0.., node, n, prefix): n distinct shingles, of which the prefix holds the rarest, so many that sets NEAR each other share one."""
+    num, den = NEAR
+    shared = texts.sparkSession.sparkContext.broadcast(_frequency(texts, shingle))
+
+    def run(batches):
+        often = shared.value
+        for b in batches:
+            prints, node, size, prefix = [], [], [], []
+            for t in b.column(2).cast(pa.binary()).to_pylist():
+                f, s = shingled(t, shingle, words)
+                keep = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
+                order = np.lexsort((s, often[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:keep]
+                prints.append(f)
+                node.append(_node(s))
+                size.append(len(s))
+                prefix.append(s[order].view(np.int64))
+            a = np.array(prints, np.uint64).reshape(-1, words).view(np.int64)
+            fs = [pa.array(a[:, w]) for w in range(words)]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *fs, pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["id", "h", *(f"f{w}" for w in range(words)), "node", "n", "prefix"],
+            )
+
+    cols = ", ".join(f"f{w} long" for w in range(words))
+    return texts.select("id", "h", "t").mapInArrow(run, f"id long, h long, {cols}, node long, n int, prefix array<long>")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs with one document of each near-duplicate class: that of the smallest id (nulls last), of repeated rows one."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **(options or WIDE))
+def _meetings(nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes(node, root, n, prefix) with other roots that share a shingle of both prefixes and can be NEAR by size and place."""
+    num, den = NEAR
+
+    def pairs(g, node, root, n, i):
+        at, d = np.arange(len(g) - 1), 1
+        while len(at := at[at + d < len(g)]):
+            at = at[g[at] == g[at + d]]
+            a, b = at, at + d
+            most = np.minimum(n[a] - i[a], n[b] - i[b])  # common shingles from this one on
+            ok = (root[a] != root[b]) & ((num + den) * most >= num * (n[a] + n[b]))
+            x, y = node[a[ok]], node[b[ok]]
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
+            d += 1
+
+    def run(batches):
+        held = None
+        for b in batches:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols)]
+            g = held[0]
+            if len(g) and g[0] != g[-1] and len(g) >= 20000:
+                cut = int(np.searchsorted(g, g[-1]))
+                yield from pairs(*(c[:cut] for c in held))
+                held = [c[cut:] for c in held]
+        if held is not None and len(held[0]):
+            yield from pairs(*held)
+
+    keyed = nodes.select("node", "root", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("i", "k"))
+    sizes = keyed.groupBy("k").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("k", "m")
+    parts = F.ceil(F.col("m") / MEET).cast("int")
+    mine = F.when(parts > 1, F.pmod(F.xxhash64("node", F.lit(7)), parts)).otherwise(F.lit(0)).cast("int")
+    rows = keyed.join(sizes, "k").withColumn("p", parts).withColumn("c", mine)
+    rows = rows.withColumn("j", F.explode(F.expr("sequence(0, p - 1)"))).where("p = 1 OR j <> c")
+    rows = rows.select(F.xxhash64("k", F.least("c", "j"), F.greatest("c", "j")).alias("g"), "node", "root", "n", F.col("i").cast("long").alias("i"))
+    return rows.repartition(F.col("g")).sortWithinPartitions("g").mapInArrow(run, "u long, v long")
+
+
+def _near(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles are NEAR each other, by counting what they share."""
+    num, den = NEAR
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                sets = [shingled(t, shingle, 0)[1] for t in b.column(0).slice(k, 256).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "s"])
+
+    pairs = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    needed = nodes.select("node", "some").join(ends, "node").select(F.col("some").alias("h")).distinct()
+    sets = texts.select("t", "h").join(needed, "h", "left_semi").select("t").mapInArrow(run, "node long, s array<long>")
+    sets = materialise(sets.groupBy("node").agg(F.first("s").alias("s")), "sets")
+    left, right = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    return pairs.join(left, "u").join(right, "v").where((num + den) * both >= num * (F.size("a") + F.size("b"))).select("u", "v")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, h, root): classes of texts linked by a Jaccard similarity of NEAR or more over their shingles.
+
+    Fingerprints within WIDE's radius find most links; what they join is no
+    longer compared. Between the classes so far a prefix filter on the rarest
+    shingles gives every pair that can be NEAR, so none is missed. All links,
+    of both kinds, are held against the sets of shingles themselves.
+    """
+    shingle, words = WIDE["shingle"], WIDE["words"]
+    fs = [f"f{w}" for w in range(words)]
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), F.xxhash64(text).alias("h"))
+    prints = materialise(_prefixes(texts, shingle, words), "prints")
+    first = [F.first(c).alias(c) for c in (*fs, "n", "prefix")]
+    nodes = materialise(prints.groupBy("node").agg(F.min("h").alias("some"), *first), "nodes")
+    early = materialise(_near(links(nodes.select("node", *fs), words, WIDE["radius"], WIDE["bands"]), texts, nodes, shingle), "early")
+    rooted = lambda found: nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    classes = rooted(components(early))
+    late = _near(_meetings(nodes.select("node", "n", "prefix").join(classes, "node")), texts, nodes, shingle)
+    of = materialise(rooted(components(early.unionByName(late))), "classes")
+    return prints.select("id", "h", "node").join(of, "node").select("id", "h", "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs with one document of each class of near copies: that of the smallest id (nulls last), of repeated rows one."""
+    found = near_copies(docs, id_col, text_col)
     first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("h").alias("h"))).alias("k")
     same = found.groupBy("root", "id", "h").agg(F.count("*").alias("copies"))
     heads = same.groupBy("root").agg(first).select("root", "k.id", "k.h")

@@ -29,12 +29,14 @@ ORDER = 4
 DECAY = 0.6
 #: Labelled documents that the classifier is fitted on, by smallest hash of the id.
 SAMPLE = 4000
-LANDMARKS = 32
+LANDMARKS = 48
 SPLIT = re.compile(r"[.!?\n]+(?=\s|\Z)")
 EDGE = ".,;:!?\"'()[]{}<>*#$%&-_~|/\\“”«»…"
-#: Letters of a word that count.
-STEM = 7
+#: Letters of a unit; longer words are read in windows of so many, each half over the one before.
+WINDOW = 48
 STEMS = 24
+#: Weight of the SVM's norm against its mean loss.
+RIDGE = 1e-4
 #: Units whose kernel rows are found at once.
 PARTS = 4096
 #: Clean training documents that set the cut, and a third as many toxic ones.
@@ -44,7 +46,7 @@ _known: dict = {}
 
 def units(sentence: str) -> list[str]:
     """What is scored: each word in lower case without edge marks, its letters alone, and runs of single letters joined; all
-    cut to STEM letters after a mark for the word's beginning, as insults are inflected at their end."""
+    whole, after a mark for the beginning. Insults are inflected at their end, so `features` takes as much of a unit as a landmark matches."""
     out, run = [], []
     for w in sentence.lower().split():
         w = w.strip(EDGE)
@@ -60,7 +62,30 @@ def units(sentence: str) -> list[str]:
                 out.append(letters)
     if len(run) >= ORDER:
         out.append("".join(run))
-    return ["^" + w[:STEM] for w in out]
+    return [u for w in out for u in _windows("^" + w)]
+
+
+def _windows(u: str) -> list[str]:
+    """u itself, or where it is long, windows that hold all of it."""
+    return [u] if len(u) <= WINDOW else [u[i : i + WINDOW] for i in range(0, len(u) - WINDOW // 2, WINDOW // 2)]
+
+
+def features(xs: list[str], ys: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
+    """Normalised kernel of every landmark y with the beginning of x that reaches as far as y's letters do. Zero where the whole x lacks more than one of them."""
+    out = np.zeros((len(xs), len(ys)))
+    if not xs:
+        return out
+    a = np.minimum(_codes(xs), 0xFFFF)
+    for j, y in enumerate(ys):
+        common, end = _common(a, y)
+        at = np.nonzero(common >= max(order, len(y) - 1))[0]
+        parts = sorted({xs[i][: end[i]] for i in at}, key=len)
+        known: dict = {}
+        for k in range(0, len(parts), PARTS // 4):
+            some = parts[k : k + PARTS // 4]
+            known.update(zip(some, (_against(some, y, order, decay) / np.sqrt(_self(some, order, decay) * _own(y, order, decay))).tolist()))
+        out[at, j] = [known[xs[i][: end[i]]] for i in at]
+    return out
 
 
 def kernel(xs: list[str], ys: list[str], order: int = ORDER, decay: float = DECAY) -> np.ndarray:
@@ -87,22 +112,27 @@ def _raw(xs, ys, order, decay) -> np.ndarray:
         return out
     a = np.minimum(_codes(xs), 0xFFFF)
     for j, y in enumerate(ys):
-        at = np.nonzero(_common(a, y) >= max(order, len(y) - 1))[0]
+        at = np.nonzero(_common(a, y)[0] >= max(order, len(y) - 1))[0]
         if len(at):
             out[at, j] = _against([xs[i] for i in at], y, order, decay)
     return out
 
 
-def _common(a: np.ndarray, y: str) -> np.ndarray:
-    """Length of the longest common subsequence of y with each row of letters, bit-parallel."""
+def _common(a: np.ndarray, y: str) -> tuple[np.ndarray, np.ndarray]:
+    """Length of the longest common subsequence of y with each row of letters, bit-parallel, and how many letters of the row it takes."""
     holds = np.zeros(0x10000, np.uint64)
     for i, c in enumerate(y):
         holds[min(ord(c), 0xFFFF)] |= np.uint64(1 << i)
-    v = np.full(len(a), (1 << len(y)) - 1, np.uint64)
+    mask = np.uint64((1 << len(y)) - 1)
+    v = np.full(len(a), mask, np.uint64)
+    best, end = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
     for p in range(a.shape[1]):
         u = v & holds[a[:, p]]
         v = (v + u) | (v - u)
-    return len(y) - np.bitwise_count(v & np.uint64((1 << len(y)) - 1)).astype(np.int64)
+        n = len(y) - np.bitwise_count(v & mask).astype(np.int64)
+        end[n > best] = p + 1
+        best = n
+    return best, end
 
 
 def _codes(xs):
@@ -163,7 +193,7 @@ class Model:
         out = np.zeros(len(xs))
         for k in range(0, len(order), PARTS):
             at = order[k : k + PARTS]
-            out[at] = kernel([xs[i] for i in at], list(self.landmarks)) @ self.root @ self.weights + self.bias
+            out[at] = features([xs[i] for i in at], list(self.landmarks)) @ self.root @ self.weights + self.bias
         return out
 
     def probability(self, margin: float) -> float:
@@ -196,7 +226,7 @@ def _families(docs: list[set]) -> list[int]:
 
 def _stems(units: set) -> set:
     """Units and their beginnings: insults are inflected."""
-    return {u[:n] for u in units for n in range(ORDER + 1, STEM + 2) if len(u) >= n}
+    return {u[:n] for u in units for n in range(ORDER + 1, min(len(u), WINDOW // 2) + 1)}
 
 
 def _cover(docs: list[tuple[set, int]], most: int = STEMS) -> list[str]:
@@ -250,10 +280,13 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     clean = Counter(u for us, y in docs if not y for u in us if len(u) > ORDER)
     names = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
     pool = names[:60_000]
-    near = np.concatenate([kernel(pool[i : i + PARTS], seeds).max(1) for i in range(0, len(pool), PARTS)]) if pool else np.zeros(0)
+    to = np.concatenate([features(pool[i : i + PARTS], seeds) for i in range(0, len(pool), PARTS)]) if pool else np.zeros((0, len(seeds)))
+    near = to.max(1)
     hard = [pool[i] for i in np.argsort(-near, kind="stable") if near[i] > 0.2][:3000]
-    marks = seeds + hard[: max(0, (landmarks - len(seeds)) * 2 // 3)]
-    marks += [w for w in names[:200] if w not in set(marks)][: max(0, landmarks - len(marks))]
+    # the clean units next to each insult are landmarks too, so that what parts them has a direction of its own
+    rank = np.argsort(-to, 0, kind="stable")[:landmarks]
+    beside = dict.fromkeys(pool[rank[r, j]] for r in range(len(rank)) for j in range(len(seeds)) if to[rank[r, j], j] > 0.2)
+    marks = list(dict.fromkeys([*seeds, *list(beside)[: max(0, landmarks - len(seeds))]]))
     k = kernel(marks, marks)
     value, vector = np.linalg.eigh((k + k.T) / 2)
     keep = value > 1e-6
@@ -262,24 +295,32 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     toxic = [w for w, _ in sorted(Counter(toxic).items(), key=lambda x: (-x[1], x[0]))[:400]]
     worn = []
     for w in seeds:  # the same insults as they come with inserted marks and letters
-        worn += [("^" + c.join(w[1:]))[: STEM + 1] for c in ".-*"] + [(w[:i] + c + w[i:])[: STEM + 1] for i in range(2, len(w) - 1) for c in "-x"]
+        worn += ["^" + c.join(w[1:]) for c in ".-*"] + [w[:i] + c + w[i:] for i in range(2, len(w) - 1) for c in "-x"]
     far = pool[:1500] + names[1500 :: max(1, len(names) // 1500)]
     hard = hard * max(1, min(20, 3000 // max(1, len(hard))))
     xs = toxic * 10 + worn + far + hard
-    ys = np.array([1.0] * (10 * len(toxic) + len(worn)) + [-1.0] * (len(xs) - 10 * len(toxic) - len(worn)))
+    ys = np.array([1.0] * (10 * len(toxic) + len(worn)) + [-1.0] * (len(far) + len(hard)))
     base = {x: i for i, x in enumerate(dict.fromkeys(xs))}
     names = sorted(base, key=lambda x: (len(x), x))
-    rows_k = np.concatenate([kernel(names[i : i + PARTS], marks) for i in range(0, len(names), PARTS)])
+    rows_k = np.concatenate([features(names[i : i + PARTS], marks) for i in range(0, len(names), PARTS)])
     base = {x: i for i, x in enumerate(names)}
     z = (rows_k @ root)[[base[x] for x in xs]]
     weight = np.where(ys > 0, len(ys) / (2 * max(1, (ys > 0).sum())), len(ys) / (2 * max(1, (ys < 0).sum())))
-    w, b, lam = np.zeros(z.shape[1]), 0.0, 1e-4
-    for t in range(1, 3001):
-        m = ys * (z @ w + b)
-        pull = np.where(m < 1, weight * ys, 0)
-        rate = 2.0 / np.sqrt(t)
-        w -= rate * (lam * w - pull @ z / len(ys))
-        b += rate * pull.sum() / len(ys)
+    # squared hinge by Newton steps on the rows inside the margin; the last weight is the bias
+    z1, ridge = np.column_stack([z, np.ones(len(z))]), np.diag([RIDGE] * z.shape[1] + [1e-9])
+    wb = np.zeros(z1.shape[1])
+    loss = lambda v: 0.5 * v @ ridge @ v + 0.5 * (weight * np.maximum(0, 1 - ys * (z1 @ v)) ** 2).mean()
+    for _ in range(50):
+        inside = ys * (z1 @ wb) < 1
+        g = z1[inside] * (weight[inside] / len(ys))[:, None]
+        step = np.linalg.solve(ridge + g.T @ z1[inside] + 1e-12 * np.eye(len(wb)), g.T @ ys[inside]) - wb
+        t = 1.0
+        while t > 1e-4 and loss(wb + t * step) > loss(wb):
+            t /= 2
+        wb = wb + t * step
+        if t <= 1e-4 or np.abs(t * step).max() < 1e-6:
+            break
+    w, b = wb[:-1], wb[-1]
     model = Model(tuple(marks), root, w, float(b))
     some = [d for d in docs if d[1]][: CALIBRATION // 3] + [d for d in docs if not d[1]][: CALIBRATION]
     every = sorted(set().union(*(u for u, _ in some)))

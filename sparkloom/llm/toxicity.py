@@ -37,6 +37,8 @@ WINDOW = 48
 STEMS = 24
 #: Weight of the SVM's norm against its mean loss.
 RIDGE = 1e-4
+#: Times that each insult with inserted letters is trained on.
+WORN = 2
 #: Units whose kernel rows are found at once.
 PARTS = 4096
 #: Clean training documents that set the cut, and a third as many toxic ones.
@@ -46,7 +48,7 @@ _known: dict = {}
 
 def units(sentence: str) -> list[str]:
     """What is scored: each word in lower case without edge marks, its letters alone, and runs of single letters joined; all
-    whole, after a mark for the beginning. Insults are inflected at their end, so `features` takes as much of a unit as a landmark matches."""
+    whole, after a mark for the beginning, and words without a letter that stands between all others. Insults are inflected at their end, so `features` takes as much of a unit as a landmark matches."""
     out, run = [], []
     for w in sentence.lower().split():
         w = w.strip(EDGE)
@@ -60,6 +62,8 @@ def units(sentence: str) -> list[str]:
             out.append(w)
             if not w.isalpha() and len(letters := "".join(filter(str.isalpha, w))) >= ORDER:
                 out.append(letters)
+            if len(w) >= 2 * ORDER - 1 and len(set(w[1::2])) == 1:  # one letter put between all others
+                out.append(w[::2])
     if len(run) >= ORDER:
         out.append("".join(run))
     return [u for w in out for u in _windows("^" + w)]
@@ -76,15 +80,33 @@ def features(xs: list[str], ys: list[str], order: int = ORDER, decay: float = DE
     if not xs:
         return out
     a = np.minimum(_codes(xs), 0xFFFF)
+    holds = _letters(a)
+    met = []
     for j, y in enumerate(ys):
-        common, end = _common(a, y)
-        at = np.nonzero(common >= max(order, len(y) - 1))[0]
-        parts = sorted({xs[i][: end[i]] for i in at}, key=len)
-        known: dict = {}
-        for k in range(0, len(parts), PARTS // 4):
-            some = parts[k : k + PARTS // 4]
-            known.update(zip(some, (_against(some, y, order, decay) / np.sqrt(_self(some, order, decay) * _own(y, order, decay))).tolist()))
-        out[at, j] = [known[xs[i][: end[i]]] for i in at]
+        # each letter that x does not hold at all is one it lacks
+        own = _letters(np.minimum(_codes([y]), 0xFFFF))[0]
+        at = np.nonzero(np.bitwise_count(own & ~holds) <= 1)[0]
+        common, end = _common(a[at], y)
+        ok = common >= max(order, len(y) - 1)
+        met.append((at[ok], [xs[i][:e] for i, e in zip(at[ok].tolist(), end[ok].tolist())]))
+    own_x = _by_length(lambda some: _self(some, order, decay), {x for _, parts in met for x in parts})
+    for j, (y, (at, parts)) in enumerate(zip(ys, met)):
+        raw = _by_length(lambda some: _against(some, y, order, decay), set(parts))  # noqa: B023
+        own_y = _own(y, order, decay)
+        out[at, j] = [raw[x] / (own_x[x] * own_y) ** 0.5 for x in parts]
+    return out
+
+
+def _letters(a: np.ndarray) -> np.ndarray:
+    """One word for each row, with a bit for each letter it holds; letters may share a bit."""
+    return np.bitwise_or.reduce(np.where(a > 0, np.uint64(1) << (a % 64).astype(np.uint64), np.uint64(0)), axis=1)
+
+
+def _by_length(f, xs: set) -> dict[str, float]:
+    """f of each x, found for many of like length at once."""
+    xs, out = sorted(xs, key=lambda x: (len(x), x)), {}
+    for k in range(0, len(xs), PARTS // 4):
+        out.update(zip(xs[k : k + PARTS // 4], f(xs[k : k + PARTS // 4]).tolist()))
     return out
 
 
@@ -295,9 +317,11 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     toxic = [w for w, _ in sorted(Counter(toxic).items(), key=lambda x: (-x[1], x[0]))[:400]]
     worn = []
     for w in seeds:  # the same insults as they come with inserted marks and letters
-        worn += ["^" + c.join(w[1:]) for c in ".-*"] + [w[:i] + c + w[i:] for i in range(2, len(w) - 1) for c in "-x"]
+        worn += ["^" + c.join(w[1:]) for c in ".-*x"] + [w[:i] + c + w[i:] for i in range(2, len(w) - 1) for c in "-x"]
+        worn += [w[:i] + "x" + w[i : i + n] + "x" + w[i + n :] for n in (1, 2, 3) for i in range(2, len(w) - n)]
     far = pool[:1500] + names[1500 :: max(1, len(names) // 1500)]
     hard = hard * max(1, min(20, 3000 // max(1, len(hard))))
+    worn = worn * WORN
     xs = toxic * 10 + worn + far + hard
     ys = np.array([1.0] * (10 * len(toxic) + len(worn)) + [-1.0] * (len(far) + len(hard)))
     base = {x: i for i, x in enumerate(dict.fromkeys(xs))}
@@ -364,8 +388,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             _known[key] = {}
         known = _known[key]
         for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
+            for k in range(0, b.num_rows, 2048):
+                part = b.slice(k, 2048)
                 sets = [{u for s in SPLIT.split(t or "") for u in units(s)} for t in part.column(at).cast(pa.string()).to_pylist()]
                 new = sorted(set().union(*sets) - known.keys())
                 if len(known) + len(new) > 500_000:

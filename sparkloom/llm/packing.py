@@ -9,6 +9,7 @@ length. Documents never meet in one task: ranks are running numbers within
 
 from __future__ import annotations
 
+import struct
 import zlib
 from bisect import bisect_left, insort
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 from .token_cache import PieceEncoder, slices
 
 
@@ -147,25 +148,26 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
     """(id, part, piece, start, length, ids_crc32): each document's ids and end_id, cut at the capacity only."""
 
     def run(batches):
-        coder = PieceEncoder.of(tokenizer_path, False, _packed)
+        coder = PieceEncoder.of(tokenizer_path, False, _packed, b"".join)
         tail = int(end_id).to_bytes(4, "little")
         for b in batches:
             for s in slices(b):
                 out = [[], [], [], [], []]
-                for i, parts in zip(s.column(0).to_pylist(), coder.encode([t or "" for t in s.column(1).to_pylist()])):
-                    ids = b"".join(parts) + tail
+                for i, t in zip(s.column(0).to_pylist(), s.column(1).to_pylist()):
+                    ids = coder.encode(t or "") + tail
                     for k, a in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[a : a + 4 * capacity]
                         for col, x in zip(out, (i, k, a // 4, len(part) // 4, zlib.crc32(part))):
                             col.append(x)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string"))
     return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long").withColumn("part", F.spark_partition_id())
 
 
 def _packed(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,7 +44,7 @@ def op5_maxscore(spark, sf_dir):
 def op7_token_counts(spark, sf_dir):
     from .token_cache import count_tokens
 
-    out = count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), "byte_bpe_50k.json")
+    out = count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 

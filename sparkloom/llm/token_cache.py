@@ -2,12 +2,14 @@
 
 Texts are cut at single spaces and line feeds where the tokenizer is known
 to cut too, and each distinct piece is encoded once per worker by the
-tokenizers library itself: plain words by its model, others in full. Texts with neighbouring white space, or white
-space at an end, go to the library whole.
+tokenizers library itself: plain words by its model, others in full. Where
+spaces belong to pieces, texts with neighbouring white space, or white space
+at an end, go to the library whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 
@@ -16,14 +18,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table_path
+from .common import Remembered, held, materialise, release, table_path
 
-#: Pieces that a worker remembers before it starts anew.
+#: Pieces of either kind that a worker remembers.
 PIECES = 600_000
-UNSAFE = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
+#: White space that Python knows and the tokenizers do not, and white space other than single spaces and line feeds.
+SEPARATORS = re.compile("[\x1c-\x1f]")
+OTHER_SPACE = re.compile(r"[^\S \n]")
 #: Marks at the end of a word that both tokenizers part from its letters.
 TAIL = ".,;:!?\")]}#$%&*"
-_workers: dict = {}
 
 
 def byte_letters() -> list[str]:
@@ -34,86 +37,65 @@ def byte_letters() -> list[str]:
 
 
 class PieceEncoder:
-    """Encodes by pieces. space_joins: a piece keeps the space before it (byte-level); else white space is dropped by the tokenizer."""
+    """Encodes by pieces. space_joins: a piece keeps the space before it (byte-level); else white space is dropped by the tokenizer.
 
-    def __init__(self, path: str, space_joins: bool, value):
+    value turns a piece's ids into something that `join` puts together for a text.
+    """
+
+    def __init__(self, path: str, space_joins: bool, value, join):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
         self.model, self.letters = self.library.model, byte_letters()
-        self.space_joins, self.value, self.known, self.words = space_joins, value, {}, {}
+        self.space_joins, self.value, self.join = space_joins, value, join
+        self.bare, self.spaced = (Remembered(lambda p, space=space: self._find(p, space), PIECES) for space in (False, True))
 
     @classmethod
-    def of(cls, path: str, space_joins: bool, value) -> "PieceEncoder":
-        key = (path, space_joins, value)
-        if key not in _workers:
-            _workers[key] = cls(path, space_joins, value)
-        return _workers[key]
-
-    def pieces(self, text: str) -> list[str]:
-        if UNSAFE.search(text):
-            return [text]
+    def of(cls, path: str, space_joins: bool, value, join) -> "PieceEncoder":
+        return held((path, space_joins, value), lambda: cls(path, space_joins, value, join))
+
+    def _plain(self, core: str) -> bool:
+        """Whether the word is letters alone that the model may be asked for directly."""
+        if not core.isalpha() or len(core) >= 100:
+            return False
+        if core.isascii() or self.space_joins:
+            return True
+        return unicodedata.is_normalized("NFC", core) and unicodedata.is_normalized("NFC", core.lower()) and "\u03a3" not in core and "\u0130" not in core
+
+    def _find(self, piece: str, space: bool):
+        own, core = self.spaced if space else self.bare, piece.rstrip(TAIL)
+        if not self._plain(core):
+            return self.value(self.library.encode(" " + piece if space else piece, add_special_tokens=False).ids)
+        if len(core) < len(piece):
+            return own[core] + self.bare[piece[len(core) :]]
+        if not self.space_joins and core != (low := core.lower()):
+            return own[low]
+        raw = core if core.isascii() else "".join(map(self.letters.__getitem__, core.encode()))
+        return self.value([t.id for t in self.model.tokenize("\u0120" + raw if space else raw)])
+
+    def _whole(self, text: str):
+        return self.join((self.value(self.library.encode(text, add_special_tokens=False).ids),))
+
+    def encode(self, text: str):
+        """The text's value."""
+        if not text:
+            return self.join(())
         if not self.space_joins:
-            return text.split()
-        out = []
+            return self._whole(text) if SEPARATORS.search(text) else self.join(map(self.bare.__getitem__, text.split()))
+        if OTHER_SPACE.search(text):
+            return self._whole(text)
+        parts = []
         for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
             words = line.split(" ")
-            out.append(words[0])
-            out += [" " + w for w in words[1:]]
-        return out
-
-    def _word(self, word: str, space: bool):
-        """Value of a word of letters alone."""
-        if not self.space_joins:
-            word = word.lower()
-        key = (word, space)
-        if key not in self.words:
-            raw = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
-            self.words[key] = self.value([t.id for t in self.model.tokenize("\u0120" + raw if space else raw)])
-        return self.words[key]
-
-    def _learn(self, pieces: list[str]) -> None:
-        whole, parts = [], []
-        for p in pieces:
-            space = self.space_joins and p[:1] == " "
-            w = p[1:] if space else p
-            core = w.rstrip(TAIL)
-            plain = core.isalpha() and len(core) < 100 and (core.isascii() or self.space_joins or unicodedata.is_normalized("NFC", core) and unicodedata.is_normalized("NFC", core.lower()) and "\u03a3" not in core and "\u0130" not in core)
-            if plain:
-                parts.append((p, core, space, w[len(core) :]))
-            else:
-                whole.append(p)
-        whole = list(dict.fromkeys(whole + [t for *_, t in parts if t and t not in self.known]))
-        for i in range(0, len(whole), 4096):
-            part = whole[i : i + 4096]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[p] = self.value(e.ids)
-        for p, core, space, tail in parts:
-            v = self._word(core, space)
-            self.known[p] = v + self.known[tail] if tail else v
-
-    def encode(self, texts: list[str]) -> list[list]:
-        """Per text the values of its pieces, in order."""
-        cut = [self.pieces(t) if t else [] for t in texts]
-        new = list(set().union(*cut) - self.known.keys()) if cut else []
-        if len(self.known) + len(new) > PIECES:
-            self.known, self.words = {}, {}
-            new = list(set().union(*cut))
-        self._learn(new)
-        get = self.known.__getitem__
-        out = [list(map(get, c)) for c in cut]
-        for p in new:
-            if len(p) > 200:
-                del self.known[p]
-        return out
-
-
-def _length(ids: list[int]) -> int:
-    return len(ids)
+            if "" in words:  # neighbouring white space, or white space at an end
+                return self._whole(text)
+            if i:
+                parts.append(self.bare["\n"])
+            parts.append(self.bare[words[0]])
+            parts += map(self.spaced.__getitem__, words[1:])
+        return self.join(parts)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 256):
@@ -121,12 +103,18 @@ def slices(batch: pa.RecordBatch, rows: int = 256):
         yield batch.slice(i, rows)
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, version: str, cache_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, n_tokens), one row for each input row; null texts count as empty.
+def file_digest(path: str) -> str:
+    with open(path, "rb") as f:
+        return hashlib.file_digest(f, "sha256").hexdigest()
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, version: str | None = None, cache_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, n_tokens), one row for each input row; null texts count as empty. An empty table gives no rows.
 
     The normalised content is the text with null as ''; nothing else may
     change, as any change could alter the count. Its SHA-256 and the
-    tokenizer version's digest are the cache key. Counts already in the
+    tokenizer version's digest - that of the tokenizer's file unless a
+    version is given - are the cache key. Counts already in the
     Parquet table cache_path are joined; only distinct misses are encoded, then
     appended there (a fresh table in the shared folder if no path is given).
     Texts travel Zstandard-compressed, at most once from each partition.
@@ -135,12 +123,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, version: str, cache_path:
     path = cache_path or table_path(spark, "counts")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    tag = F.sha2(F.lit(version), 256)
+    tag = F.sha2(F.lit(version or file_digest(tokenizer_path)), 256)
     schema = "digest binary, tokenizer string, n_tokens long"
     todo = docs.select(F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
     if cache_path and _exists(spark, cache_path):
         stored = spark.read.schema(schema).parquet(cache_path).where(F.col("tokenizer") == tag).select("digest").distinct()
-        todo = todo.join(stored, "digest", "left_anti")
+        todo = todo.join(materialise(stored, "stored"), "digest", "left_anti")
 
     def pack(batches):
         press, seen = zstandard.ZstdCompressor(level=1), set()
@@ -155,22 +143,24 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, version: str, cache_path:
             yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(texts, pa.binary())], names=["digest", "packed"])
 
     def encode(batches):
-        coder, press, seen = PieceEncoder.of(tokenizer_path, True, _length), zstandard.ZstdDecompressor(), set()
+        coder, press, seen = PieceEncoder.of(tokenizer_path, True, len, sum), zstandard.ZstdDecompressor(), set()
         for b in batches:
             for s in slices(b):
-                ds, texts = [], []
+                ds, counts = [], []
                 for d, t in zip(s.column(0).to_pylist(), s.column(1).to_pylist()):
                     if d not in seen:
                         seen.add(d)
                         ds.append(d)
-                        texts.append(press.decompress(t).decode() if t else "")
-                yield pa.RecordBatch.from_arrays([pa.array(ds, pa.binary()), pa.array([sum(x) for x in coder.encode(texts)], pa.int64())], names=["digest", "n_tokens"])
+                        counts.append(coder.encode(press.decompress(t).decode() if t else ""))
+                yield pa.RecordBatch.from_arrays([pa.array(ds, pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+        release()
 
     packed = todo.mapInArrow(pack, "digest binary, packed binary").repartition(F.col("digest"))
     counted = packed.mapInArrow(encode, "digest binary, n_tokens long")
     counted.select("digest", tag.alias("tokenizer"), "n_tokens").write.mode("append").parquet(path)
     known = spark.read.schema(schema).parquet(path).where(F.col("tokenizer") == tag)
-    known = known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # written first, so that the join below is one of two plain shuffles, which can part a digest that very many rows share
+    known = materialise(known.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "known")
     return keyed.join(known, "digest", "left").select("id", "n_bytes", "n_tokens")
 
 

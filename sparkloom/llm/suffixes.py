@@ -7,11 +7,11 @@ with the smallest hash, so equal strings have equal anchors at equal places
 and only about one position in length / 4 is stored. Buckets of one suffix are
 done. Within a bucket, suffixes whose whole context is equal are settled by a
 hash of it; the remaining contexts travel to their bucket and are refined
-there: every position starts in the bucket of its q-gram, and buckets are split
-by sorting on the identifiers at the offset that the bucket's depth has
-reached, each step using the identifiers of the step before, until they stand
-for `length` bytes. Only buckets that still hold two go on. Identifiers are
-64-bit hashes of q-grams.
+there: every position starts in the bucket of its GRAM bytes, and buckets are
+split by sorting on the identifiers at the offset that the bucket's depth has
+reached, each step using the identifiers that the step before has written, until
+they stand for `length` bytes. Only buckets that still hold two are sorted
+again. The first identifiers stand for 64-bit hashes of q-grams.
 
 A bucket with more than HOT contexts is cut into parts that are refined apart;
 what is single in its part is settled by a shuffle on 128-bit digests of the
@@ -29,12 +29,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, fresh, materialise, release, without
 
 LENGTH = 200
-HOT = 20_000
+#: Bytes of the q-grams that refinement starts from, at most.
+GRAM = 50
+HOT = 4_000
 #: Bytes that are hashed, or refined, at a time.
-BUFFER = 2 << 20
+BUFFER = 1 << 20
 U = np.uint64
 
 
@@ -94,26 +96,57 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     return doc, at - starts[doc], h[at], at
 
 
+def _buckets(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket of each key, size of each bucket), by sorting."""
+    order = np.argsort(keys)
+    first = np.ones(len(keys), bool)
+    first[1:] = np.diff(keys[order]) != 0
+    bucket = np.empty(len(keys), np.int64)
+    bucket[order] = np.cumsum(first) - 1
+    return bucket, np.bincount(bucket)
+
+
 def refine(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Bucket of the `length` bytes from each start, -1 where no other start has them. Starts are places with that much data after them."""
-    if len(starts) < 2:
-        return np.full(len(starts), -1)
-    q = length // 2
-    h = _gram_hashes(data, q)
-    _, bucket, size = np.unique(h[starts], return_inverse=True, return_counts=True)
-    at = np.nonzero(size[bucket] > 1)[0]  # a bucket of one is done
-    bucket, depth = bucket[at], q
-    while depth < length and len(at):
-        later = h[starts[at] + min(depth, length - q)]
-        order = np.lexsort((later, bucket))
-        new = np.ones(len(order), bool)
-        new[1:] = (np.diff(bucket[order]) != 0) | (later[order][1:] != later[order][:-1])
-        refined = np.empty(len(order), np.int64)
-        refined[order] = np.cumsum(new) - 1
-        more = np.bincount(refined)[refined] > 1
-        at, bucket, depth = at[more], refined[more], depth + q
+    """Bucket of the `length` bytes from each start, -1 where no other start has them. Starts are places with that much data after them.
+
+    Buckets of q-grams first, for every place that a start can come to look
+    at. A step sorts the places by their own bucket and by the bucket at the
+    offset that this one's depth has reached, and so doubles the depth; the
+    next step looks up the identifiers that this one has written. Places
+    whose bucket holds one are not sorted again, and neither are those that
+    look at one. Places that only the steps so far had to look at drop out.
+    """
     out = np.full(len(starts), -1)
-    out[at] = bucket
+    if len(starts) < 2:
+        return out
+    depths = [length]  # of the steps, last first: each at most twice the one before
+    while depths[0] > GRAM:
+        depths.insert(0, -(-depths[0] // 2))
+    mask = np.zeros(len(data) + 1, bool)
+    mask[starts] = True
+    needed = [mask]  # places whose bucket each step needs, last first
+    for d, e in zip(depths[-2::-1], depths[:0:-1]):
+        more = needed[-1].copy()
+        more[e - d :] |= needed[-1][: d - e]
+        needed.append(more)
+    places = np.nonzero(needed.pop())[0]
+    bucket, size = _buckets(_gram_hashes(data, depths[0])[places])
+    at = np.zeros(len(data) + 1, np.int64)  # bucket of each place, as the last step left it
+    at[places] = bucket
+    alone = np.ones(len(data) + 1, bool)
+    alone[places] = size[bucket] == 1
+    total = len(size)
+    for d, e in zip(depths, depths[1:]):
+        places = np.nonzero(needed.pop())[0]
+        # alone at either end is alone in the whole
+        some = places[~(alone[places] | alone[places + (e - d)])]
+        bucket, size = _buckets(at[some] * np.int64(total) + at[some + (e - d)])
+        alone[places] = True
+        alone[some] = size[bucket] == 1
+        at[some] = bucket
+        total = len(size)
+    mine = ~alone[starts]
+    out[mine] = at[starts][mine]
     return out
 
 
@@ -150,15 +183,21 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
                     ds = np.array([h[:2] for h in hold], np.int64)[doc]
                     yield pa.RecordBatch.from_arrays([_signed(gram), _signed(ctx), pa.array(ds[:, 0]), pa.array(ds[:, 1]), pa.array(pos.astype(np.int32)), pa.array(np.array([len(h[2]) for h in hold], np.int32)[doc])], names=["g", "c", "d1", "d2", "pos", "n"])
                     hold, size = [], 0
+        release()
 
     found = keyed.select("d1", "d2", "z").mapInArrow(find, "g long, c long, d1 long, d2 long, pos int, n int")
-    found = materialise(found, "anchors").withColumn("p", F.xxhash64("d1", "d2", "pos"))
-    buckets = found.groupBy("g").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo <> hi").select("g")
+    anchored = materialise(found, "anchors")
+    found = anchored.withColumn("p", F.xxhash64("d1", "d2", "pos"))
+    # aggregates are written before they are joined: a join of two plain shuffles can part a bucket that holds very many rows
+    buckets = materialise(found.groupBy("g").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo <> hi").select("g"), "buckets")
     found = materialise(found.join(buckets, "g"), "shared")
-    settled = found.groupBy("g", "c").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
-    spread = settled.groupBy("g").agg(F.count("*").alias("contexts"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("open"))
+    discard(anchored, buckets)
+    settled = materialise(found.groupBy("g", "c").agg(F.min("p").alias("lo"), F.max("p").alias("hi")), "settled")
+    spread = materialise(settled.groupBy("g").agg(F.count("*").alias("contexts"), F.max((F.col("lo") == F.col("hi")).cast("int")).alias("open")), "spread")
     state = materialise(settled.join(spread, "g"), "state")
+    discard(settled, spread)
     marked = materialise(found.join(state, ["g", "c"]), "marked")
+    discard(found, state)
     span = [F.greatest(F.col("pos") - reach, F.lit(0)).alias("s"), F.least(F.col("pos") + length, F.col("n")).alias("e")]
     sure = marked.where("lo <> hi").select("d1", "d2", *span)
     # one of each settled context stands witness for the open ones
@@ -200,13 +239,16 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH, hot: int = HOT) -> Da
                 last = r[:2]
         if hold:
             yield from _refined(hold, length, q)
+        release()
 
     local = materialise(shipped.mapInArrow(settle, "d1 long, d2 long, s int, e int, n1 long, n2 long"), "refined")
     pending = local.where("n1 IS NOT NULL").withColumn("p", F.xxhash64("d1", "d2", "s"))
-    again = pending.groupBy("n1", "n2").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo <> hi").select("n1", "n2")
+    again = materialise(pending.groupBy("n1", "n2").agg(F.min("p").alias("lo"), F.max("p").alias("hi")).where("lo <> hi").select("n1", "n2"), "again")
     across = pending.join(again, ["n1", "n2"]).select("d1", "d2", "s", "e")
     spans = sure.unionByName(local.where("n1 IS NULL").select("d1", "d2", "s", "e")).unionByName(across)
-    return spans.groupBy("d1", "d2").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
+    spans = materialise(spans.groupBy("d1", "d2").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "spans")  # a text's spans are bounded by its length
+    discard(marked, local, again)
+    return spans
 
 
 CONTEXT = "g long, part int, cut boolean, d1 long, d2 long, a int, ctx binary"
@@ -267,15 +309,18 @@ def _refined(rows, length: int, q: int):
 def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, text_col: str = "text") -> DataFrame:
     """docs with the text cut, and _n_bytes, _n_removed, _n_spans, _kept_sha256; one row for each input row.
 
-    Null texts are empty and stay null. Repeated rows are each other's copies:
+    Null texts are empty and stay null; an empty table gives no rows; columns
+    that have the results' names already are replaced. Repeated rows are each other's copies:
     a text of at least `length` bytes that occurs twice goes whole. Matches
     never cross rows. Where a cut parts a UTF-8 letter, the text column leaves
     out its other bytes; counts and digest are those of the bytes.
     """
+    docs = without(docs, "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256")
     names = docs.columns
     at = names.index(text_col)
 
     def key(batches):
+        fresh()
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             texts = b.column(at).cast(pa.binary()).to_pylist()

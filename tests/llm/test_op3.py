@@ -61,3 +61,17 @@ def test_query(spark):
     want = Counter((i, *x) for (i, _), x in zip(docs, brute([t for _, t in docs], 200)))
     assert Counter(tuple(r) for r in registry.op3_suffixes(spark, sf).collect()) == want
     assert suffixes.dedup(spark.read.parquet(f"{sf}/documents.parquet").limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("length,gram", [(200, 25), (40, 5), (33, 4), (7, 25), (30, 1)])
+def test_refinement(length, gram, monkeypatch):
+    monkeypatch.setattr(suffixes, "GRAM", gram)
+    rnd = random.Random(length)
+    parts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randint(length, 2 * length))) for _ in range(4)]
+    raw = b"".join(rnd.choice(parts) + bytes(rnd.choice(b"abc") for _ in range(3)) for _ in range(12)) + b"z" * 3 * length
+    starts = np.array(sorted(rnd.sample(range(len(raw) - length + 1), (len(raw) - length) // 2)))
+    got = suffixes.refine(np.frombuffer(raw, np.uint8), starts, length)
+    strings = [raw[s : s + length] for s in starts.tolist()]
+    often = Counter(strings)
+    assert all((b >= 0) == (often[s] > 1) for s, b in zip(strings, got.tolist()))
+    assert len({(s, b) for s, b in zip(strings, got.tolist()) if b >= 0}) == len({b for b in got.tolist() if b >= 0}) == sum(1 for n in often.values() if n > 1)

@@ -1,12 +1,16 @@
 """Exact top-k inner products by MaxScore over vector components.
 
 A component is a query's term and a block of vectors its postings; a term's
-bound is the most it can add in the block. Terms are ordered by how far their
-contribution spreads; the essential ones, which alone decide who can reach the
-k-th best score so far, are traversed for all vectors, and the others are
-probed in turn only for vectors whose bound is still competitive. Blocks of
-queries meet blocks of vectors through an equi-join on the shard number; each
-task returns k rows for each of its queries and shard, and shards are merged.
+bounds are the most and the least it can add in the block. Terms are ordered
+by how far these lie apart. Those at the end of the order are non-essential as
+long as a vector that gets the least from all others and the most from them
+stays below the k-th best score so far; a block where that holds of all terms
+is passed over. The essential terms are traversed for all vectors, the others
+probed in turn only for vectors whose bound is still competitive. The k-th best
+score is carried from block to block, so that more terms become non-essential.
+Blocks of queries meet blocks of vectors through an equi-join on the shard
+number; each task returns k rows at most for each of its queries and blocks,
+and shards are merged.
 """
 
 from __future__ import annotations
@@ -19,31 +23,44 @@ from pyspark.sql import functions as F
 #: Vectors in a block; a block of this many 64-dimension vectors is 2 MB.
 BLOCK = 4096
 QUERY_BLOCK = 256
-ESSENTIAL = 0.5
 
 
-def block_topk(queries: np.ndarray, qids: np.ndarray, vectors: np.ndarray, vids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score): each query's k best in one block; ties to the smaller id; a row does not match its own id."""
+def essential(top: np.ndarray, bottom: np.ndarray, floor: float) -> int:
+    """How many of the first terms are essential: the fewest such that the least of them and the most of all others stay below the floor."""
+    reach = np.concatenate(([0], np.cumsum(bottom))) + np.concatenate((np.cumsum(top[::-1])[::-1], [0]))
+    return int(np.searchsorted(-reach, -floor, "right")) if reach[-1] < floor else len(top)
+
+
+def block_topk(queries: np.ndarray, qids: np.ndarray, vectors: np.ndarray, vids: np.ndarray, k: int, best: list[np.ndarray] | None = None) -> list[tuple[int, int, int]]:
+    """(query id, vector id, score): those of one block that can be among each query's k best; ties to the smaller id; a row does not match its own id.
+
+    best holds each query's k best scores so far, ascending, and is brought up to date.
+    """
     out = []
     high, low = vectors.max(0), vectors.min(0)
     columns = np.asfortranarray(vectors)
-    for q, own in zip(queries, qids.tolist()):
+    best = [np.zeros(0)] * len(qids) if best is None else best
+    for n, (q, own) in enumerate(zip(queries, qids.tolist())):
         top, bottom = np.maximum(q * high, q * low), np.minimum(q * high, q * low)
         order = np.argsort(-(top - bottom), kind="stable")
-        n = max(1, int(len(order) * ESSENTIAL))
-        score = columns[:, order[:n]] @ q[order[:n]]
+        floor = best[n][0] if len(best[n]) == k else -np.inf
+        first = essential(top[order], bottom[order], floor)
+        if not first and len(order):
+            continue  # no vector of the block reaches the floor
+        score = columns[:, order[:first]] @ q[order[:first]]
         live = np.nonzero(vids != own)[0]
         score = score[live]
-        best, worst = top[order], bottom[order]
-        above, below = np.concatenate((np.cumsum(best[::-1])[::-1], [0])), np.concatenate((np.cumsum(worst[::-1])[::-1], [0]))
-        for i in range(n, len(order) + 1):
-            if (i - n) % 8 == 0 and len(live) > k:
-                floor = np.partition(score, len(score) - k)[len(score) - k] + below[i]
+        above, below = (np.concatenate((np.cumsum(x[order][::-1])[::-1], [0])) for x in (top, bottom))
+        for i in range(first, len(order) + 1):
+            if (i - first) % 8 == 0:
+                if len(live) > k:
+                    floor = max(floor, np.partition(score, len(score) - k)[len(score) - k] + below[i])
                 keep = score + above[i] >= floor
                 live, score = live[keep], score[keep]
             if i < len(order):
                 score = score + columns[live, order[i]] * q[order[i]]
         at = np.lexsort((vids[live], -score))[:k]
+        best[n] = np.sort(np.concatenate((best[n], score[at])))[-k:]
         out += [(own, v, int(s)) for v, s in zip(vids[live][at].tolist(), score[at].tolist())]
     return out
 
@@ -86,8 +103,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
     """(query_id, rank, vec_id, score) for every row where is_query holds against all other rows.
 
     Vectors of different lengths are compared over their common components.
-    Scores are whole numbers, exact while they stay below 2^53. Ties go to
-    the smaller id. Repeated rows are candidates each on their own; of
+    Scores are whole numbers, exact while they and the scaled components
+    stay below 2^53. Ties go to the smaller id. An empty table gives no rows. Repeated rows are candidates each on their own; of
     repeated query ids each keeps k rows of its own scores.
     """
     spark = vectors.sparkSession
@@ -98,16 +115,19 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, id_col:
     cs = _blocks(rows.repartition(parts), "c", BLOCK).withColumn("shard", F.spark_partition_id())
 
     def run(batches):
+        last, best = None, []
         for b in batches:
             out = []
             for r in b.to_pylist():
                 d = max(r["q_d"], r["c_d"])
                 grow = lambda raw, n: np.pad(np.frombuffer(raw).reshape(-1, n), ((0, 0), (0, d - n)))
                 qids, cids = (np.frombuffer(r[x], np.int64) for x in ("q_ids", "c_ids"))
+                if (r["q_ids"], r["q"]) != last:  # the join gives all blocks of vectors for one of queries in a row
+                    last, best = (r["q_ids"], r["q"]), [np.zeros(0)] * len(qids)
                 if d == 0:
                     out += [(q, v, 0) for q in qids.tolist() for v in sorted(c for c in cids.tolist() if c != q)[:k]]
                     continue
-                out += block_topk(grow(r["q"], r["q_d"]) if r["q_d"] else np.zeros((len(qids), d)), qids, grow(r["c"], r["c_d"]) if r["c_d"] else np.zeros((len(cids), d)), cids, k)
+                out += block_topk(grow(r["q"], r["q_d"]) if r["q_d"] else np.zeros((len(qids), d)), qids, grow(r["c"], r["c_d"]) if r["c_d"] else np.zeros((len(cids), d)), cids, k, best)
             a = np.array(out, np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([pa.array(a[:, i]) for i in range(3)], names=["query_id", "vec_id", "score"])
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table_path
+from .common import discard, materialise, release, table_path
 
 #: Bytes of records in a frame and of frames in a bundle, before either is closed.
 FRAME = 1 << 20
@@ -31,25 +31,41 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(kind: str, url: str | None, rid: str, page: int | None, payload: bytes, n: int, digest: str, refers: int | None) -> bytes:
+#: What comes before a response's payload: the payload is the body of an HTTP message.
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+#: Names of the responses that others revisit are made from their payload's digest, so that revisits know them.
+NAMES = uuid.UUID("6ba7b812-9dad-11d1-80b4-00c04fd430c8")
+
+
+def shared_id(sha: str) -> str:
+    """Record id of the one response that holds a payload which others revisit."""
+    return str(uuid.uuid5(NAMES, sha))
+
+
+def record(kind: str, url: str | None, rid: str, page: int | None, payload: bytes, n: int, digest: str, refers: int | None, refers_id: str | None = None) -> bytes:
     """One WARC/1.1 record. A revisit has no payload; the length and digest of the full one stand in its header."""
     clean = re.sub(r"[\r\n]", " ", url or "")
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{rid}>", f"WARC-Target-URI: {clean}", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {n}"]
     if page is not None:
         head.append(f"X-Page-Id: {page}")
+    head.append("Content-Type: application/http;msgtype=response")
     if kind == "revisit":
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
+        if refers_id is not None:
+            head.append(f"WARC-Refers-To: <urn:uuid:{refers_id}>")
         if refers is not None:
             head.append(f"X-Refers-To-Page: {refers}")
-    body = payload if kind == "response" else b""
+    body = HTTP % len(payload) + payload if kind == "response" else b""
     head.append(f"Content-Length: {len(body)}")
     return "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
 def parse(raw: bytes) -> tuple[dict, bytes]:
+    """Header fields and payload of a record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    block = rest[: int(fields["Content-Length"])]
+    return fields, block.partition(b"\r\n\r\n")[2]
 
 
 def seek_table(sizes: list[tuple[int, int]]) -> bytes:
@@ -85,24 +101,35 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, id_col: str = "
     body = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).cast("string").alias("url"), body.alias("body"))
 
-    def shrink(batches):  # payloads travel compressed
-        press = zstandard.ZstdCompressor(level=1)
+    def shrink(batches):
+        """Payloads travel compressed, and a copy's only where no row before it in its partition has the same and a smaller id."""
+        press, least_page = zstandard.ZstdCompressor(level=1), {}
         for b in batches:
-            raw = b.column(2).cast(pa.binary()).to_pylist()
-            cols = [pa.array(map(press.compress, raw), pa.binary()), pa.array([hashlib.sha1(x).hexdigest() for x in raw], pa.string()), pa.array(map(len, raw), pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["page", "url", "body", "sha", "n"])
+            bodies, shas, sizes = [], [], []
+            for page, raw in zip(b.column(0).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
+                sha = hashlib.sha1(raw)
+                key, place = sha.digest(), (page is None, page or 0)
+                needed = len(raw) < least or place <= least_page.get(key, place)
+                if needed:
+                    least_page[key] = place
+                bodies.append(press.compress(raw) if needed else None)
+                shas.append(sha.hexdigest())
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bodies, pa.binary()), pa.array(shas, pa.string()), pa.array(sizes, pa.int64())], names=["page", "url", "body", "sha", "n"])
+        release()
 
     slim_rows = rows.select("page", F.sha1("body").alias("sha"), F.octet_length("body").cast("long").alias("n"))
     rows = rows.mapInArrow(shrink, "page long, url string, body binary, sha string, n long")
     firsts = slim_rows.where(F.col("n") >= least).groupBy("sha").agg(F.min("page").alias("first"), F.count("*").alias("copies"))
-    firsts = firsts.where("copies > 1")
+    # written first, so that the join is one of two plain shuffles, which can part a digest that very many rows share
+    firsts = materialise(firsts.where("copies > 1"), "firsts")
     alone = rows.join(firsts, "sha", "left")
     slim = F.when(F.col("copies").isNull() | F.col("page").eqNullSafe(F.col("first")), F.col("body"))
     marked = alone.select("page", "url", "sha", "n", "first", F.col("copies").isNotNull().alias("shared"), slim.alias("body"))
     single = marked.where("NOT shared OR NOT (page <=> first)").withColumn("rn", F.lit(1))
     heads = marked.where("shared AND page <=> first").withColumn("rn", F.row_number().over(Window.partitionBy("sha").orderBy("url")))
     ready = single.unionByName(heads).withColumn("revisit", F.expr("shared AND (NOT (page <=> first) OR rn > 1)"))
-    ready = ready.select("page", "url", F.when(~F.col("revisit"), F.col("body")).alias("body"), "sha", "n", "first", "revisit")
+    ready = ready.select("page", "url", F.when(~F.col("revisit"), F.col("body")).alias("body"), "sha", "n", "first", "shared", "revisit")
 
     def run(batches):
         system, root = _fs(folder)
@@ -136,10 +163,11 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, id_col: str = "
             for r in b.to_pylist():
                 if state["out"] is None:
                     state |= {"name": f"{uuid.uuid4().hex}.warc.zst", "at": 0, "sizes": []}
-                    state["out"] = system.open_output_stream(f"{root}/{state["name"]}", compression=None)
-                rid = str(uuid.uuid4())
+                    state["out"] = system.open_output_stream(f"{root}/{state['name']}", compression=None)
                 kind = "revisit" if r["revisit"] else "response"
-                raw = record(kind, r["url"], rid, r["page"], unpack.decompress(r["body"]) if r["body"] else b"", r["n"], base64.b32encode(bytes.fromhex(r["sha"])).decode(), r["first"])
+                rid = shared_id(r["sha"]) if r["shared"] and kind == "response" else str(uuid.uuid4())
+                payload = unpack.decompress(r["body"]) if r["body"] else b""
+                raw = record(kind, r["url"], rid, r["page"], payload, r["n"], base64.b32encode(bytes.fromhex(r["sha"])).decode(), r["first"], shared_id(r["sha"]))
                 state["pending"].append((rid, state["plain"], len(raw)))
                 state["frame"].append(raw)
                 state["plain"] += len(raw)
@@ -151,7 +179,9 @@ def write_archive(pages: DataFrame, folder: str, least: int = 0, id_col: str = "
         if last is not None:
             yield last
 
-    return materialise(ready.mapInArrow(run, INDEX), "index")
+    index = materialise(ready.mapInArrow(run, INDEX), "index")
+    discard(firsts)
+    return index
 
 
 def read_archive(index: DataFrame) -> DataFrame:

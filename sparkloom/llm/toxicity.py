@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, release, without
+
 ORDER = 4
 DECAY = 0.6
 #: Labelled documents that the classifier is fitted on, by smallest hash of the id.
@@ -43,30 +45,55 @@ WORN = 2
 PARTS = 4096
 #: Clean training documents that set the cut, and a third as many toxic ones.
 CALIBRATION = 1500
-_known: dict = {}
-
-
-def units(sentence: str) -> list[str]:
-    """What is scored: each word in lower case without edge marks, its letters alone, and runs of single letters joined; all
-    whole, after a mark for the beginning, and words without a letter that stands between all others. Insults are inflected at their end, so `features` takes as much of a unit as a landmark matches."""
+#: Words whose margins a task remembers.
+KNOWN = 400_000
+
+
+def word_units(w: str) -> list[str]:
+    """What is scored of one lower-case word: the word without edge marks, its letters alone, and, where one letter stands
+    between all others, the word without it; all whole, after a mark for the beginning. Insults are inflected at their end,
+    so `features` takes as much of a unit as a landmark matches. Single letters count in runs only."""
+    w = w.strip(EDGE)
+    if not w or len(w) == 1 and w.isalpha():
+        return []
+    out = [w]
+    if not w.isalpha() and len(letters := "".join(filter(str.isalpha, w))) >= ORDER:
+        out.append(letters)
+    if len(w) >= 2 * ORDER - 1 and len(set(w[1::2])) == 1:
+        out.append(w[::2])
+    return [u for x in out for u in _windows("^" + x)]
+
+
+def runs(words: list[str]) -> list[str]:
+    """Units of single letters that follow one another, joined."""
     out, run = [], []
-    for w in sentence.lower().split():
+    for w in [*words, ""]:
         w = w.strip(EDGE)
         if len(w) == 1 and w.isalpha():
             run.append(w)
             continue
         if len(run) >= ORDER:
-            out.append("".join(run))
+            out += _windows("^" + "".join(run))
         run = []
-        if w:
-            out.append(w)
-            if not w.isalpha() and len(letters := "".join(filter(str.isalpha, w))) >= ORDER:
-                out.append(letters)
-            if len(w) >= 2 * ORDER - 1 and len(set(w[1::2])) == 1:  # one letter put between all others
-                out.append(w[::2])
-    if len(run) >= ORDER:
-        out.append("".join(run))
-    return [u for w in out for u in _windows("^" + w)]
+    return out
+
+
+def units(sentence: str) -> list[str]:
+    """All that is scored of a sentence."""
+    words = sentence.lower().split()
+    return [u for w in words for u in word_units(w)] + runs(words)
+
+
+def text_runs(text: str, words: list[str], single: set[str]) -> list[str]:
+    """Units of single letters in a row, inside a sentence; words are the text's, single those that are one letter."""
+    if (b"\1" * ORDER) not in bytes(map(single.__contains__, words)):
+        return []
+    return [u for s in SPLIT.split(text) for u in runs(s.lower().split())]
+
+
+def _single(w: str) -> bool:
+    w = w.strip(EDGE)
+    return len(w) == 1 and w.isalpha()
 
 
 def _windows(u: str) -> list[str]:
@@ -212,10 +239,10 @@ class Model:
         if not self.landmarks or not xs:
             return np.full(len(xs), self.bias)
         order = sorted(range(len(xs)), key=lambda i: len(xs[i]))
-        out = np.zeros(len(xs))
+        out, each = np.zeros(len(xs)), self.root @ self.weights
         for k in range(0, len(order), PARTS):
             at = order[k : k + PARTS]
-            out[at] = features([xs[i] for i in at], list(self.landmarks)) @ self.root @ self.weights + self.bias
+            out[at] = (features([xs[i] for i in at], list(self.landmarks)) * each).sum(1) + self.bias
         return out
 
     def probability(self, margin: float) -> float:
@@ -259,7 +286,7 @@ def _cover(docs: list[tuple[set, int]], most: int = STEMS) -> list[str]:
         for w in _stems(u) if toxic else ():
             bad.setdefault(w, set()).add(f)
     tried = max(1, len(bad))
-    bad = {w: len(x) for w, x in bad.items() if len(x) >= 3}
+    bad = {w: len(x) for w, x in bad.items() if len(x) >= 2}
     for f, (u, toxic) in zip(family, docs):
         for w in () if toxic else _stems(u) & bad.keys():
             good.setdefault(w, set()).add(f)
@@ -268,6 +295,9 @@ def _cover(docs: list[tuple[set, int]], most: int = STEMS) -> list[str]:
     # by chance alone, not one of all units may look like this: toxic nearly always, and so often
     chance, bar = -np.log(n1 / (n1 + n0)), np.log(100 * tried)
     able = {w for w, n in bad.items() if len(w) >= ORDER and n * chance > bar and n / n1 > 20 * (good[w] + 1) / n0}
+    least = 3
+    if not able:  # too few toxic documents for that: the units that several of them share and no clean one has
+        able, least = {w for w, n in bad.items() if len(w) > ORDER + 1 and not good[w]}, 2
     left = [_stems(u) & able for u, t in docs if t]
     found = []
     while len(found) < most:
@@ -277,10 +307,10 @@ def _cover(docs: list[tuple[set, int]], most: int = STEMS) -> list[str]:
         if not tally:
             break
         w, n = max(tally.items(), key=lambda x: (x[1], len(x[0]), x[0]))
-        if n < 3:
+        if n < least:
             break
         left = [u for u in left if w not in u]
-        if bad[w] < max(3, 0.01 * n1):
+        if bad[w] < max(least, 0.01 * n1):
             able.discard(w)
             left = [u - {w} for u in left]
             continue
@@ -288,7 +318,7 @@ def _cover(docs: list[tuple[set, int]], most: int = STEMS) -> list[str]:
     # others as wide-spread as these mark toxicity too, even where cover does not need them
     floor = 0.3 * max((bad[w] for w in found), default=0)
     for w in sorted(able, key=lambda w: (-bad[w], -len(w), w)):
-        if bad[w] >= max(3, floor) and len(found) < most and not any(w.startswith(x) or x.startswith(w) for x in found):
+        if bad[w] >= max(least, floor) and len(found) < most and not any(w.startswith(x) or x.startswith(w) for x in found):
             found.append(w)
     return found
 
@@ -351,52 +381,67 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
     known = dict(zip(every, model.margins(every).tolist()))
     worst = sorted((max(map(known.__getitem__, u), default=-1.5), y) for u, y in some)
     m, y = np.array([x for x, _ in worst]), np.array([t for _, t in worst])
-    wrong = np.concatenate(([(y == 0).sum()], (y == 0).sum() + np.cumsum(np.where(y == 1, 1, -1))))[1:-1]
-    gaps = np.nonzero((wrong == wrong.min()) & (np.diff(m) > 0) if (np.diff(m) > 0).any() else wrong == wrong.min())[0] if len(wrong) else []
-    best = max(gaps, key=lambda i: m[i + 1] - m[i], default=None)
+    wrong = ((y == 0).sum() + np.cumsum(np.where(y == 1, 1, -1)))[:-1]
+    apart = np.nonzero(np.diff(m) > 0)[0]  # equal margins cannot be parted
+    best = max(apart, key=lambda i: (-wrong[i], m[i + 1] - m[i]), default=None)
     cut = 0.0 if best is None else float((m[best] + m[best + 1]) / 2)
     return replace(model, cut=float(np.clip(cut, -0.5, 0.9)))
 
 
+def score_texts(model: Model, texts: list[str | None], known: dict[str, float]) -> list[float]:
+    """Score of each text by its worst unit; known keeps the worst margin of each word."""
+    words = [(t or "").lower().split() for t in texts]
+    distinct = [set(w) for w in words]
+    new = set().union(*distinct) - known.keys()
+    if len(known) + len(new) > KNOWN:
+        known.clear()
+        new = set().union(*distinct)
+    of = {w: word_units(w) for w in new}
+    single = set(filter(_single, set().union(*distinct)))
+    loose = [text_runs(t or "", w, single) for t, w in zip(texts, words)]
+    every = sorted({u for us in (*of.values(), *loose) for u in us})
+    # nearly all units are far from every landmark and share one margin, and one float object
+    margins = {u: model.bias if m == model.bias else m for u, m in zip(every, model.margins(every).tolist())}
+    known.update((w, max(map(margins.__getitem__, us), default=-np.inf)) for w, us in of.items())
+    worst = [max((*map(known.__getitem__, d), *map(margins.__getitem__, r)), default=-np.inf) for d, r in zip(distinct, loose)]
+    return [model.probability(-1.5 if m == -np.inf else m) for m in worst]
+
+
 def score_text(model: Model, text: str | None, known: dict[str, float]) -> float:
-    us = {u for s in SPLIT.split(text or "") for u in units(s)}
-    new = [u for u in us if u not in known]
-    known.update(zip(new, model.margins(new).tolist()))
-    return model.probability(max(map(known.__getitem__, us), default=-1.5))
+    return score_texts(model, [text], known)[0]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """At most `sample` labelled (text, toxic) rows whose crc32 of the id modulo 4 is not 2; of repeated labels the toxic one counts."""
+    """At most `sample` labelled (text, toxic) rows whose crc32 of the id modulo 4 is not 2; of repeated labels the toxic one
+    counts, of texts that share an id the smallest. Null ids and null labels are left out; an empty table gives no rows."""
     own = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
-    own = own.where(F.crc32(F.col("_id").cast("string")) % 4 != 2).orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    own = own.where(F.crc32(F.col("_id").cast("string")) % 4 != 2)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    found = texts.join(F.broadcast(own), "_id").select("_id", "_text", "_toxic").limit(2 * sample)  # own is at most `sample` rows
-    return [(r._text, r._toxic) for r in sorted(found.collect(), key=lambda r: (r._id, r._text or ""))]
+    own = own.join(texts.select("_id").distinct(), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(sample)
+    found = texts.join(F.broadcast(own), "_id").groupBy("_id").agg(F.first("_toxic").alias("_toxic"), F.min("_text").alias("_text"))  # own is at most `sample` rows
+    return [(r._text, r._toxic) for r in sorted(found.collect(), key=lambda r: r._id)]
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with _score (0 to 1) for every row; null and empty texts get the score of no evidence."""
+    """docs with _score (0 to 1) for every row; null and empty texts get the score of no evidence, repeated rows score alike.
+
+    Texts are read whole, however long. An empty table gives no rows. A
+    column that is called _score already is replaced.
+    """
     spark = docs.sparkSession
+    docs = without(docs, "_score")
     at = docs.columns.index(text_col)
     shared, names = spark.sparkContext.broadcast(model), [*docs.columns, "_score"]
 
     def run(batches):
-        model = shared.value
-        key = (model.landmarks, model.bias)
-        if key not in _known:  # a worker serves many tasks
-            _known.clear()
-            _known[key] = {}
-        known = _known[key]
+        model, known = shared.value, {}
+        fresh()
         for b in batches:
             for k in range(0, b.num_rows, 2048):
                 part = b.slice(k, 2048)
-                sets = [{u for s in SPLIT.split(t or "") for u in units(s)} for t in part.column(at).cast(pa.string()).to_pylist()]
-                new = sorted(set().union(*sets) - known.keys())
-                if len(known) + len(new) > 500_000:
-                    known.clear()
-                    new = sorted(set().union(*sets))
-                known.update(zip(new, model.margins(new).tolist()))
-                got = [model.probability(max(map(known.__getitem__, u), default=-1.5)) for u in sets]
+                got = score_texts(model, part.column(at).cast(pa.string()).to_pylist(), known)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=names)
+        known.clear()
+        release()
 
     return docs.mapInArrow(run, docs.withColumn("_score", F.lit(0.0)).schema)

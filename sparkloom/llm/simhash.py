@@ -1,7 +1,7 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-A fingerprint is `words` 64-bit words; word w takes XXH64 with seed 42 + w of
-each shingle and sets a bit where over half the hashes do. Candidate pairs
+A fingerprint has a bit set where over half the XXH64 hashes (seed 42) of the
+shingles do; wider ones have further words from the hashes mixed anew. Candidate pairs
 share a band key. With `exact_bands(radius)` no pair within the radius is
 missed: the word is cut into radius + 2 blocks and every choice of two that
 must agree is a key. Within a bucket the fingerprints are turned into bit
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import Remembered, components, discard, fresh, materialise, release
 
 CHUNK = 8192
 SEED = 42
@@ -44,47 +44,67 @@ def sliding_bands(words: int, width: int, step: int) -> list[list[tuple[int, int
     return [[(w, s, width)] for w in range(words) for s in range(0, 64 - width + 1, step)]
 
 
-def shingled(text: bytes | None, shingle: int, words: int = 1) -> tuple[list[int], np.ndarray]:
-    """Fingerprint words of one UTF-8 text and its distinct shingles as sorted hashes: A-Z lower-cased, split at ASCII white space."""
+def _majority(h: np.ndarray) -> int:
+    """The word that has a bit set where over half of the hashes have."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 32768):
+        ones += np.unpackbits(h[i : i + 32768].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes | None, shingle: int) -> int:
+    """Fingerprint of one UTF-8 text, A-Z lower-cased and split at ASCII white space, by XXH64 of each shingle, repeats included."""
     parts = (text or b"").lower().split()
     if not parts:
-        return [0] * words, np.zeros(0, np.uint64)
+        return 0
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(shingle, len(parts))
-    pairs = list(zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist()))
-    out, distinct = [], None
     digest = xxhash.xxh64_intdigest
-    for w in range(max(1, words)):
-        h = np.fromiter((digest(joined[a:b], SEED + w) for a, b in pairs), np.uint64, len(pairs))
-        distinct = np.unique(h) if distinct is None else distinct
-        if w == words:
-            break
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(h), 65536):
-            ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)[0]))
-    return out, distinct
+    return _majority(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist())), np.uint64, len(parts) - k + 1))
+
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def fingerprint(text: bytes | None, shingle: int, words: int = 1) -> list[int]:
-    """Fingerprint words of one UTF-8 text."""
-    return shingled(text, shingle, words)[0]
 
+def word_hashes() -> Remembered:
+    return Remembered(lambda w: xxhash.xxh64_intdigest(w, SEED), WORDS)
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, h, f0, f1, ...): one row for each document; h hashes the text as it is, words are signed longs."""
+
+def shingle_hashes(text: bytes | None, shingle: int, known: Remembered) -> np.ndarray:
+    """A hash of each shingle of one UTF-8 text, repeats included, made from those of its words."""
+    parts = (text or b"").lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(known.__getitem__, parts), np.uint64, len(parts))
+    k = min(shingle, len(parts))
+    n = len(parts) - k + 1
+    h = np.full(n, k, np.uint64)
+    for j in range(k):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + w[j : j + n])
+    return h
+
+
+def wide_print(h: np.ndarray, words: int) -> list[int]:
+    """Fingerprint words from shingle hashes; each word but the first mixes them anew."""
+    return [_majority(h if w == 0 else _mix(h + np.uint64(w))) if len(h) else 0 for w in range(words)]
+
+
+def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, f0): one row for each document, fingerprints as signed longs."""
 
     def run(batches):
+        fresh()
         for b in batches:
-            rows = [fingerprint(t, shingle, words) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            a = np.array(rows, np.uint64).reshape(-1, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(a[:, w]) for w in range(words))], names=["id", "h", *(f"f{w}" for w in range(words))])
+            a = np.array([fingerprint(t, shingle) for t in b.column(1).cast(pa.binary()).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(a)], names=["id", "f0"])
+        release()
 
-    cols = ", ".join(f"f{w} long" for w in range(words))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.xxhash64(F.col(text_col).cast("string")).alias("h"))
-    return rows.mapInArrow(run, f"id long, h long, {cols}")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id long, f0 long")
 
 
 def bit_planes(f: np.ndarray) -> np.ndarray:
@@ -203,43 +223,47 @@ def links(nodes: DataFrame, words: int, radius: int, bands, chunk: int = CHUNK)
             k = F.shiftleft(k, width).bitwiseOR(part)
         return k
 
-    keyed = nodes.select("node", *fs, F.posexplode(F.array(*[key(b) for b in bands])).alias("t", "k"))
-    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keyed.join(sizes, ["t", "k"])
+    # rows travel with their key alone until it is known which keys are shared; a chance collision of two keys only adds comparisons
+    slim = fs if words == 1 else []
+    keyed = nodes.select("node", *slim, F.posexplode(F.array(*[key(b) for b in bands])).alias("t", "k")).withColumn("k", F.xxhash64("t", "k")).drop("t")
+    sizes = materialise(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    rows = keyed.join(sizes, "k")
+    if not slim:
+        rows = materialise(rows, "held").join(nodes.select("node", *fs), "node")
     parts = F.ceil(F.col("n") / chunk).cast("int")
     mine = F.when(parts > 1, F.pmod(F.xxhash64("node", F.lit(7)), parts)).otherwise(F.lit(0)).cast("int")
     rows = rows.withColumn("p", parts).withColumn("c", mine)
     rows = rows.withColumn("j", F.explode(F.expr("sequence(0, p - 1)"))).where("p = 1 OR j <> c")
-    rows = rows.select(F.xxhash64("t", "k", F.least("c", "j"), F.greatest("c", "j")).alias("g"), "node", *fs)
+    rows = rows.select(F.xxhash64("k", F.least("c", "j"), F.greatest("c", "j")).alias("g"), "node", *fs)
     rows = rows.repartition(F.col("g")).sortWithinPartitions("g")
     return rows.mapInArrow(bucket_links(radius, words), "u long, v long")
 
 
-def near_duplicates(
-    docs: DataFrame, shingle: int = 3, radius: int = 2, words: int = 1, bands=None, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(id, h, f0.., component, root): the smallest id reachable over fingerprint links, itself included; root names the class even without ids. Empty input gives no rows."""
-    fs = [f"f{w}" for w in range(words)]
-    prints = materialise(fingerprints(docs, shingle, words, id_col, text_col), "prints")
-    node = F.col("f0") if words == 1 else F.xxhash64(*fs)
-    prints = prints.withColumn("node", node)
-    nodes = materialise(prints.groupBy("node", *fs).agg(F.min("id").alias("low")), "nodes")
-    found = components(links(nodes, words, radius, bands or exact_bands(radius)))
-    rooted = nodes.select("node", "low").join(found, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    of = materialise(rooted.join(lows, "root").select("node", "component", "root"), "classes")
-    return prints.join(of, "node", "left").select("id", "h", *fs, "component", "root")
-
-
-#: For near copies of five-word shingles: 256 bits, keys of 20 neighbouring bits, at most 45 bits apart. They only group most copies early.
-WIDE = {"shingle": 5, "words": 4, "radius": 45, "bands": sliding_bands(4, 20, 6)}
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, f0, component): the smallest id reachable over fingerprint links, itself included. Empty input gives no rows."""
+    prints = materialise(fingerprints(docs, shingle, id_col, text_col), "prints")
+    nodes = materialise(prints.groupBy("f0").agg(F.min("id").alias("low")).select(F.col("f0").alias("node"), "f0", "low"), "nodes")
+    found = components(links(nodes, 1, radius, exact_bands(radius)))
+    rooted = materialise(nodes.select("node", "low").join(found, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root")), "rooted")
+    lows = materialise(rooted.groupBy("root").agg(F.min("low").alias("component")), "lows")
+    of = materialise(rooted.join(lows, "root").select(F.col("node").alias("f0"), "component"), "classes")
+    discard(nodes, rooted, lows)
+    return prints.join(of, "f0", "left").select("id", "f0", "component")
+
+
+#: For near copies of five-word shingles: 128 bits, keys of 20 neighbouring bits, at most 22 bits apart. They only group most copies early.
+WIDE = {"shingle": 5, "words": 2, "radius": 22, "bands": sliding_bands(2, 20, 6)}
+#: Words whose hashes a task remembers.
+WORDS = 400_000
 #: Near copies share this part of their shingles at least: NEAR[0] of NEAR[1].
 NEAR = (4, 5)
 #: Counters of the shingles' frequency, and one of how many texts is counted. Both set the order of shingles only, never which pairs are found.
 COUNTERS = 1 << 18
 COUNTED = 8
 #: Rows of one shingle that meet in a task are twice as many at most.
-MEET = 2048
+MEET = 8192
+#: Pairs that a task looks at together.
+PAIRS = 1 << 20
 
 
 def _node(distinct: np.ndarray) -> int:
@@ -251,63 +275,88 @@ def _frequency(texts: DataFrame, shingle: int) -> np.ndarray:
     """Texts for each counter of shingle hashes, from one of COUNTED texts."""
 
     def run(batches):
-        n = np.zeros(COUNTERS, np.int64)
+        n, known = np.zeros(COUNTERS, np.int64), word_hashes()
         for b in batches:
             for t in b.column(0).cast(pa.binary()).to_pylist():
-                np.add.at(n, (shingled(t, shingle, 0)[1] % np.uint64(COUNTERS)).astype(np.int64), 1)
+                n += np.bincount((np.unique(shingle_hashes(t, shingle, known)) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         at = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
 
     some = texts.where(F.pmod(F.xxhash64("h", F.lit(5)), F.lit(COUNTED)) == 0).select("t")
     out = np.zeros(COUNTERS, np.int64)
-    for r in some.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # COUNTERS rows at most
+    for r in some.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # COUNTERS rows at most
         out[r.at] = r.n
     return out
 
 
 def _prefixes(texts: DataFrame, shingle: int, words: int) -> DataFrame:
-    """(id, h, f0.., node, n, prefix): n distinct shingles, of which the prefix holds the rarest, so many that sets NEAR each other share one."""
+    """(id, h, f0.., node, n, prefix): n distinct shingles, of which the prefix holds the rarest, so many that sets NEAR each other share one.
+
+    A shingle's key has its counter's logarithm in the upper 12 bits and
+    its hash in the others, so that keys in order are shingles by rarity.
+    """
     num, den = NEAR
-    shared = texts.sparkSession.sparkContext.broadcast(_frequency(texts, shingle))
+    often = np.round(64 * np.log2(1 + _frequency(texts, shingle))).clip(0, 2047).astype(np.uint64) << np.uint64(52)
+    shared = texts.sparkSession.sparkContext.broadcast(often)
 
     def run(batches):
-        often = shared.value
+        often, known = shared.value, word_hashes()
+        fresh()
         for b in batches:
             prints, node, size, prefix = [], [], [], []
             for t in b.column(2).cast(pa.binary()).to_pylist():
-                f, s = shingled(t, shingle, words)
+                h = shingle_hashes(t, shingle, known)
+                s = np.unique(h)
                 keep = len(s) - -(-num * len(s) // den) + 1 if len(s) else 0
-                order = np.lexsort((s, often[(s % np.uint64(COUNTERS)).astype(np.int64)]))[:keep]
-                prints.append(f)
+                keys = often[(s % np.uint64(COUNTERS)).astype(np.int64)] | (s >> np.uint64(12))
+                prints.append(wide_print(h, words))
                 node.append(_node(s))
                 size.append(len(s))
-                prefix.append(s[order].view(np.int64))
+                prefix.append(np.sort(keys)[:keep].view(np.int64))
             a = np.array(prints, np.uint64).reshape(-1, words).view(np.int64)
             fs = [pa.array(a[:, w]) for w in range(words)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), *fs, pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
                 names=["id", "h", *(f"f{w}" for w in range(words)), "node", "n", "prefix"],
             )
+        known.clear()
+        release()
 
     cols = ", ".join(f"f{w} long" for w in range(words))
     return texts.select("id", "h", "t").mapInArrow(run, f"id long, h long, {cols}, node long, n int, prefix array<long>")
 
 
-def _meetings(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of nodes(node, root, n, prefix) with other roots that share a shingle of both prefixes and can be NEAR by size and place."""
+def _shared(nodes: DataFrame) -> DataFrame:
+    """(k, node, i): the shingles that stand in the prefixes of several nodes, and their places there. Most stand in one alone, so rows travel with nothing else."""
+    keyed = nodes.select("node", F.posexplode("prefix").alias("i", "k"))
+    several = materialise(keyed.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k"), "several")
+    out = materialise(keyed.join(several, "k").select("k", "node", "i"), "shared")
+    discard(several)
+    return out
+
+
+def _meetings(shared: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of nodes(node, root, n) with other roots that share a shingle of both prefixes and can be NEAR by size and place."""
     num, den = NEAR
 
-    def pairs(g, node, root, n, i):
-        at, d = np.arange(len(g) - 1), 1
-        while len(at := at[at + d < len(g)]):
-            at = at[g[at] == g[at + d]]
-            a, b = at, at + d
+    def pairs(g, node, root, n, i, c, cross):
+        """Rows are sorted by g and root: each meets the rows of its group before its own root's, so that one large class costs no more than it has rows."""
+        begins = lambda *keys: np.maximum.accumulate(np.where(np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))), np.arange(len(g)), 0))
+        group = begins(g)
+        count = begins(g, root) - group
+        total = np.cumsum(count)
+        done = 0
+        while done < len(g):
+            end = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + PAIRS, "right")))
+            k = count[done:end]
+            b = np.repeat(np.arange(done, end), k)
+            a = np.repeat(group[done:end], k) + np.arange(len(b)) - np.repeat(np.cumsum(k) - k, k)
             most = np.minimum(n[a] - i[a], n[b] - i[b])  # common shingles from this one on
-            ok = (root[a] != root[b]) & ((num + den) * most >= num * (n[a] + n[b]))
+            ok = ((num + den) * most >= num * (n[a] + n[b])) & (~cross[a] | (c[a] != c[b]))
             x, y = node[a[ok]], node[b[ok]]
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["u", "v"])
-            d += 1
+            done = end
 
     def run(batches):
         held = None
@@ -321,15 +370,17 @@ def _meetings(nodes: DataFrame) -> DataFrame:
                 held = [c[cut:] for c in held]
         if held is not None and len(held[0]):
             yield from pairs(*held)
+        release()
 
-    keyed = nodes.select("node", "root", F.col("n").cast("long").alias("n"), F.posexplode("prefix").alias("i", "k"))
+    keyed = materialise(shared.join(nodes.select("node", "root", F.col("n").cast("long").alias("n")), "node"), "keyed")
     sizes = keyed.groupBy("k").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("k", "m")
+    sizes = materialise(sizes, "sizes")  # so that the join is one of two plain shuffles, which can part a hot shingle
     parts = F.ceil(F.col("m") / MEET).cast("int")
     mine = F.when(parts > 1, F.pmod(F.xxhash64("node", F.lit(7)), parts)).otherwise(F.lit(0)).cast("int")
     rows = keyed.join(sizes, "k").withColumn("p", parts).withColumn("c", mine)
-    rows = rows.withColumn("j", F.explode(F.expr("sequence(0, p - 1)"))).where("p = 1 OR j <> c")
-    rows = rows.select(F.xxhash64("k", F.least("c", "j"), F.greatest("c", "j")).alias("g"), "node", "root", "n", F.col("i").cast("long").alias("i"))
-    return rows.repartition(F.col("g")).sortWithinPartitions("g").mapInArrow(run, "u long, v long")
+    rows = rows.withColumn("j", F.explode(F.expr("sequence(0, p - 1)")))  # two parts meet each other, and each itself
+    rows = rows.select(F.xxhash64("k", F.least("c", "j"), F.greatest("c", "j")).alias("g"), "node", "root", "n", F.col("i").cast("long").alias("i"), "c", (F.col("c") != F.col("j")).alias("cross"))
+    return rows.repartition(F.col("g")).sortWithinPartitions("g", "root").mapInArrow(run, "u long, v long")
 
 
 def _near(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -337,19 +388,24 @@ def _near(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) ->
     num, den = NEAR
 
     def run(batches):
+        known = word_hashes()
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                sets = [shingled(t, shingle, 0)[1] for t in b.column(0).slice(k, 256).cast(pa.binary()).to_pylist()]
+                sets = [np.unique(shingle_hashes(t, shingle, known)) for t in b.column(0).slice(k, 256).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "s"])
+        known.clear()
+        release()
 
     pairs = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
-    ends = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    needed = nodes.select("node", "some").join(ends, "node").select(F.col("some").alias("h")).distinct()
+    ends = materialise(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends")
+    needed = materialise(nodes.select("node", "some").join(ends, "node").select(F.col("some").alias("h")).distinct(), "needed")
     sets = texts.select("t", "h").join(needed, "h", "left_semi").select("t").mapInArrow(run, "node long, s array<long>")
     sets = materialise(sets.groupBy("node").agg(F.first("s").alias("s")), "sets")
     left, right = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    return pairs.join(left, "u").join(right, "v").where((num + den) * both >= num * (F.size("a") + F.size("b"))).select("u", "v")
+    out = materialise(pairs.join(left, "u").join(right, "v").where((num + den) * both >= num * (F.size("a") + F.size("b"))).select("u", "v"), "near")
+    discard(pairs, ends, needed, sets)
+    return out
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,27 +420,38 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     fs = [f"f{w}" for w in range(words)]
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), F.xxhash64(text).alias("h"))
-    prints = materialise(_prefixes(texts, shingle, words), "prints")
+    full = materialise(_prefixes(texts, shingle, words), "prints")
+    prints = materialise(full.select("id", "h", "node"), "ids")
     first = [F.first(c).alias(c) for c in (*fs, "n", "prefix")]
-    nodes = materialise(prints.groupBy("node").agg(F.min("h").alias("some"), *first), "nodes")
-    early = materialise(_near(links(nodes.select("node", *fs), words, WIDE["radius"], WIDE["bands"]), texts, nodes, shingle), "early")
-    rooted = lambda found: nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
-    classes = rooted(components(early))
-    late = _near(_meetings(nodes.select("node", "n", "prefix").join(classes, "node")), texts, nodes, shingle)
+    nodes = materialise(full.groupBy("node").agg(F.min("h").alias("some"), *first), "nodes")
+    discard(full)
+    early = _near(links(nodes.select("node", *fs), words, WIDE["radius"], WIDE["bands"]), texts, nodes, shingle)
+    rooted = lambda found: nodes.select("node", "n").join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    classes = materialise(rooted(components(early)), "roots")
+    shared = _shared(nodes)
+    late = _near(_meetings(shared, classes), texts, nodes, shingle)
     of = materialise(rooted(components(early.unionByName(late))), "classes")
-    return prints.select("id", "h", "node").join(of, "node").select("id", "h", "root")
+    discard(nodes, classes, shared, early, late)
+    return prints.join(of, "node").select("id", "h", "root")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with one document of each class of near copies: that of the smallest id (nulls last), of repeated rows one."""
-    found = near_copies(docs, id_col, text_col)
+    """The rows of docs with one document of each class of near copies: that of the smallest id (nulls last), of repeated rows one.
+
+    Null texts are no copies of anything: all of them stay. Texts without
+    words are copies of one another. All columns stay as they are.
+    """
+    text = F.col(text_col).cast("string")
+    some = docs.where(text.isNotNull())
+    found = near_copies(some, id_col, text_col)
     first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("h").alias("h"))).alias("k")
-    same = found.groupBy("root", "id", "h").agg(F.count("*").alias("copies"))
+    same = materialise(found.groupBy("root", "id", "h").agg(F.count("*").alias("copies")), "same")
     heads = same.groupBy("root").agg(first).select("root", "k.id", "k.h")
-    heads = heads.join(same, (heads.root == same.root) & heads.id.eqNullSafe(same.id) & (heads.h == same.h)).select(heads.id.alias("_id"), heads.h.alias("_h"), "copies")
-    keyed = docs.withColumn("_hash", F.xxhash64(F.col(text_col).cast("string")))
-    match = keyed[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_h"))
+    heads = heads.join(same, (heads.root == same.root) & heads.id.eqNullSafe(same.id) & (heads.h == same.h)).select(heads.id.alias("__loom_id"), heads.h.alias("__loom_h"), "copies")
+    keyed = some.withColumn("__loom_hash", F.xxhash64(text))
+    match = keyed[id_col].cast("long").eqNullSafe(F.col("__loom_id")) & (F.col("__loom_hash") == F.col("__loom_h"))
     heads = materialise(heads, "heads")
+    discard(same)
     once = keyed.join(heads.where("copies = 1"), match, "left_semi")
-    more = keyed.join(heads.where("copies > 1"), match, "left_semi").dropDuplicates([id_col, "_hash"])
-    return once.unionByName(more).drop("_hash")
+    more = keyed.join(heads.where("copies > 1"), match, "left_semi").dropDuplicates([id_col, "__loom_hash"])
+    return once.unionByName(more).drop("__loom_hash").unionByName(docs.where(text.isNull()))

@@ -14,6 +14,8 @@ def shingles(text):
 
 
 def jaccard(a, b):
+    if a is None or b is None:
+        return 0.0  # null texts are no copies of anything
     a, b = shingles(a), shingles(b)
     return len(a & b) / len(a | b) if a | b else 1.0
 
@@ -30,12 +32,13 @@ def rows():
         out += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
     common = " ".join(f"line{i}" for i in range(12))
     out += [(200 + i, f"{common} own{i} a{i} b{i} c{i} d{i} e{i}") for i in range(40)]
-    return out + [(300, None), (301, ""), (302, "Two  words"), (303, "two words"), (None, "lone text here"), (304, out[0][1].upper())]
+    return out + [(300, None), (299, None), (301, ""), (305, " \n"), (302, "Two  words"), (303, "two words"), (None, "lone text here"), (304, out[0][1].upper())]
 
 
-@pytest.mark.parametrize("meet", [2048, 8])
-def test_every_near_copy_and_no_other(spark, meet, monkeypatch):
+@pytest.mark.parametrize("meet,pairs", [(8192, 1 << 20), (8, 7)])
+def test_every_near_copy_and_no_other(spark, meet, pairs, monkeypatch):
     monkeypatch.setattr(simhash, "MEET", meet)
+    monkeypatch.setattr(simhash, "PAIRS", pairs)
     data = rows()
     near = [(i, j) for i in range(len(data)) for j in range(i) if jaccard(data[i][1], data[j][1]) >= 0.8]
     root = list(range(len(data)))

@@ -14,6 +14,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
+
 THRESHOLD = 0.8
 
 # Licence notices as their publishers word them.
@@ -66,8 +68,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     """docs with _license (null: none), _score (best coefficient at or over the threshold, else 0) and _n_matches (matching lines).
 
     Ties go to the template first in name order. Null and empty texts match
-    nothing. Templates of fewer than two words are refused.
+    nothing; repeated rows get the same; an empty table gives no rows. Templates
+    of fewer than two words are refused. Columns that have the results' names
+    already are replaced.
     """
+    docs = without(docs, "_license", "_score", "_n_matches", "_found", "_best")
     sets = {k: bigrams(v) for k, v in sorted((templates or TEMPLATES).items())}
     if any(not v for v in sets.values()):
         raise ValueError("a template needs two words")

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, release, without
+
 DIM = 1 << 16
 #: Documents that the scorer is fitted on, by smallest hash of their text.
 SAMPLE = 4000
@@ -112,9 +114,11 @@ def fit_scorer(texts: list[str], target: np.ndarray, epochs: int = 30, rate: flo
 def score(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> DataFrame:
     """docs with _posterior (of the votes), _score (of the scorer) and _keep (score of at least 0.5).
 
-    Null texts count as empty; repeated rows score alike; empty input gives no rows.
+    Null texts count as empty; repeated rows score alike; empty input gives no
+    rows. Columns that have the results' names already are replaced.
     """
     spark = docs.sparkSession
+    docs = without(docs, "_posterior", "_score", "_keep")
     at = docs.columns.index(text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
@@ -131,6 +135,7 @@ def score(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Data
     shared, names = spark.sparkContext.broadcast((weights, bias, post)), [*docs.columns, "_posterior", "_score"]
 
     def run(batches):
+        fresh()
         w, b0, post = shared.value
         known: dict[str, float] = {}
         for b in batches:
@@ -148,6 +153,7 @@ def score(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Data
                 if len(known) > 500_000:
                     known = {}
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ps), pa.array(ss)], names=names)
+        release()
 
     schema = docs.withColumn("_posterior", F.lit(0.0)).withColumn("_score", F.lit(0.0)).schema
     return docs.mapInArrow(run, schema).withColumn("_keep", F.col("_score") >= 0.5)

@@ -1,6 +1,7 @@
 """op1, op6, op8 and op10 against brute force or held-out labels."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -8,7 +9,7 @@ from itertools import combinations
 
 import pytest
 
-from sparkloom.llm import decontaminate, licenses, quality, registry, toxicity
+from sparkloom.llm import decontaminate, licenses, quality, registry, suffixes, toxicity
 
 ODD = [(1, None), (2, ""), (3, "one two three four"), (3, "one two three four"), (None, "Five, six"), (4, "a1 b2 c3 d4 e5 f6 g7 h8 i9 j0 k1 l2"), (5, "x A1 b2,c3 d4 e5-f6 g7 h8 i9 j0 k1 y k1"), (6, "w " * 5000 + "five SIX"), (7, "Ärger über ärger é 日本")]
 
@@ -82,7 +83,7 @@ def test_toxicity_held_out(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     right = sum(r.predicted == truth[r.doc_id] for r in held) / len(held)
     caught = sum(r.predicted for r in held if truth[r.doc_id]) / sum(truth[r.doc_id] for r in held)
-    assert right > 0.93 and caught > 0.6, (right, caught)  # a third of this table's toxic documents, none English, have no word in common
+    assert right > 0.96 and caught >= 0.9, (right, caught)
     lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     english = [r for r in held if lang[r.doc_id] == "en" and truth[r.doc_id]]
     assert sum(r.predicted for r in english) / len(english) > 0.9
@@ -126,3 +127,97 @@ def test_quality(spark):
     assert right > 0.85 and kept > 0.97, (right, kept)
     assert quality.score(frame(spark, []).drop("_score")).count() == 0
     assert quality.score(frame(spark).drop("_score")).count() == len(ODD)
+
+
+def test_clashing_names_are_replaced(spark):
+    """Columns that have a result's name already, left in: they go, the caller's other columns stay."""
+    names = ["_score", "_posterior", "_keep", "_license", "_n_matches", "_found", "_best", "_mask", "_items", "_n_words", "_n_hit", "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256", "_SCORE2", "other"]
+    rows = [(i, t, *["mine"] * len(names)) for i, t in ODD]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names)).repartition(3)
+    plain = docs.select("doc_id", "text")
+    bench = spark.createDataFrame([(9, "five six")], "item_id int, text string")
+    model = toxicity.fit([("you idiot", 1)] * 5 + [("a quiet text", 0)] * 9)
+    for apply in (lambda d: toxicity.score(d, model), lambda d: decontaminate.annotate(d, bench), licenses.scan, quality.score, suffixes.dedup):
+        got, want = apply(docs), apply(plain)
+        assert len(set(got.columns)) == len(got.columns) and {"other", "_SCORE2"} <= set(got.columns)
+        cols = want.columns
+        assert Counter(map(str, got.select(*cols).collect())) == Counter(map(str, want.collect()))
+        assert {r.other for r in got.collect()} == {"mine"}
+
+
+def test_training_rows_do_not_depend_on_partitions(spark):
+    docs = [(i, f"text {i} {k}") for i in range(60) for k in range(i % 3 + 1)] + [(None, "no id"), (61, None)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(62)] + [(4, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    got = [toxicity.training_rows(spark.createDataFrame(docs, "doc_id long, text string").repartition(n), labels, sample=20) for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == 20
+    assert toxicity.training_rows(spark.createDataFrame([], "doc_id long, text string"), labels) == []
+
+
+def test_training_at_a_small_size(spark):
+    """Nine toxic training documents: most of them are found again, and few clean ones are."""
+    sf = "/root/testdata/sf0.001"
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r.doc_id: r.predicted for r in registry.op1_toxicity(spark, sf).collect()}
+    toxic, clean = ([i for i in truth if i in got and truth[i] == y] for y in (1, 0))
+    assert sum(got[i] for i in toxic) >= 0.7 * len(toxic) and sum(got[i] for i in clean) <= 0.1 * len(clean)
+
+
+def test_licences_repeats_and_empty(spark):
+    rows = [(1, "Released under the MIT License.")] * 3
+    got = licenses.scan(frame(spark, rows).drop("_score")).collect()
+    assert [(r._license, r._score, r._n_matches) for r in got] == [("mit-notice", 1.0, 1)] * 3
+    assert licenses.scan(frame(spark, []).drop("_score")).count() == 0
+
+
+def brute_em(counts, rounds=300):
+    """Expectation-maximisation written out vote by vote."""
+    patterns = list(counts)
+    m = len(patterns[0])
+    chance = {1: [[0.03, 0.27, 0.7] for _ in range(m)], 0: [[0.5, 0.2, 0.3] for _ in range(m)]}
+    prior, post, n = 0.8, [0.0] * len(patterns), sum(counts.values())
+    for _ in range(rounds):
+        old, post = post, []
+        for p in patterns:
+            good, bad = math.log(prior), math.log(1 - prior)
+            for j, v in enumerate(p):
+                good += math.log(chance[1][j][v + 1])
+                bad += math.log(chance[0][j][v + 1])
+            post.append(1 / (1 + math.exp(min(40, max(-40, bad - good)))))
+        if max(abs(a - b) for a, b in zip(old, post)) < 1e-9:
+            break
+        for c in (0, 1):
+            for j in range(m):
+                share = [0.5, 0.5, 0.5]
+                for p, q in zip(patterns, post):
+                    share[p[j] + 1] += (q if c else 1 - q) * counts[p]
+                chance[c][j] = [x / sum(share) for x in share]
+        prior = min(0.95, max(0.05, sum(q * counts[p] for p, q in zip(patterns, post)) / n))
+    return dict(zip(patterns, post))
+
+
+def test_quality_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    post = brute_em(Counter(quality.votes(t or "") for _, t in docs))
+    texts = sorted({t or "" for _, t in docs})
+    weights, bias = quality.fit_scorer(texts, [post[quality.votes(t)] for t in texts])
+
+    def linear(t):
+        words = (t or "").split()
+        z = bias + sum(weights[i] for w in words for i in quality.features(w)) / max(1, len(words))
+        return 1 / (1 + math.exp(-min(30, max(-30, z))))
+
+    got = registry.op10_quality(spark, sf).collect()
+    want = {i: (post[quality.votes(t or "")], linear(t)) for i, t in docs}
+    assert len(got) == len(docs)
+    for r in got:
+        assert abs(r.posterior - want[r.doc_id][0]) < 1e-5 and abs(r.score - want[r.doc_id][1]) < 1e-4 and r.keep == (r.score >= 0.5)
+
+
+def test_quality_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "one two three"), (3, "one two three"), (None, "one two three")]
+    got = quality.score(frame(spark, rows).drop("_score")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.text or "", set()).add((r._posterior, r._score, r._keep))
+    assert len(got) == 5 and all(len(x) == 1 for x in by.values())

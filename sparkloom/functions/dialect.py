@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Format directives and the Java patterns that mean the same.
@@ -92,3 +92,72 @@ def quote_identifier(name: str) -> str:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def prefix_aliases(sql: str) -> str:
+    """`SELECT name: expression` as `SELECT expression AS name`; the select list ends at FROM."""
+    m = re.match(r"(?is)\s*SELECT\s+(.*?)(\s+FROM\s.*)?\Z", sql)
+    out, depth, part = [], 0, ""
+    for c in m[1] + ",":
+        depth += (c in "([{") - (c in ")]}")
+        if c == "," and not depth:
+            alias = re.match(r"\s*([A-Za-z_]\w*)\s*:(?!:)\s*(.*)\Z", part, re.S)
+            out.append(f"{alias[2]} AS {alias[1]}" if alias else part.strip())
+            part = ""
+        else:
+            part += c
+    return f"SELECT {', '.join(out)}{m[2] or ''}"
+
+
+def at_zone(ts: Column, zone: str, other: str) -> Column:
+    """A local time of one zone as the local time of another."""
+    return F.convert_timezone(F.lit(zone), F.lit(other), ts.cast("timestamp_ntz"))
+
+
+def in_zone(df: DataFrame, column: str, zone: str, name: str) -> DataFrame:
+    """df with a UTC time for a local time of the zone, whatever the session's zone."""
+    return df.select(*(c for c in df.columns if c != column), at_zone(F.col(column), zone, "UTC").alias(name))
+
+
+def nextval(df: DataFrame, name: str, start: int = 1, step: int = 1, by: list[Column] | None = None) -> DataFrame:
+    """df with the next values of a sequence, in the given order or any."""
+    from ..operators.joins import numbered
+
+    order = by or [F.monotonically_increasing_id()]
+    return numbered(df, order, "__pos").withColumn(name, (F.col("__pos") - 1) * step + start).drop("__pos")
+
+
+def settings(spark: SparkSession, **names: str) -> DataFrame:
+    """One row with session settings."""
+    return spark.range(1).select(*(F.lit(spark.conf.get(k)).alias(n) for n, k in names.items()))
+
+
+def fixed_array(a: Column, n: int) -> Column:
+    """The array, failing where it has another length; null stays."""
+    return F.when(a.isNull() | (F.size(a) == n), a).otherwise(F.raise_error(F.lit(f"an array of {n} is needed")))
+
+
+def tagged(members: dict[str, Column], tag: Column) -> Column:
+    """A union value: its tag and one field for each member, null in all but the tagged one."""
+    return F.struct(tag.alias("tag"), *(F.when(tag == n, c).alias(n) for n, c in members.items()))
+
+
+def flatten_json(df: DataFrame, column: str, schema: str) -> DataFrame:
+    """df with the named fields of a JSON column beside it."""
+    return df.withColumn("__j", F.from_json(column, schema)).select(*df.columns, "__j.*")
+
+
+class Enum:
+    """A closed domain of texts in an order of their own."""
+
+    def __init__(self, *values: str):
+        self.values = values
+
+    def checked(self, c: Column) -> Column:
+        return F.when(c.isNull() | c.isin(*self.values), c).otherwise(F.raise_error(F.concat(F.lit("not in the domain: "), c)))
+
+    def rank(self, c: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for i, v in enumerate(self.values):
+            out = F.when(c == v, i).otherwise(out)
+        return out

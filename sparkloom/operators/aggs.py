@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def arg_min_n(value: str, key: str, n: int, largest: bool = False) -> Column:
-    """Values of the n smallest (or largest) keys, in order; null keys do not count."""
-    pairs = F.collect_list(F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("k"), F.col(value).alias("v"))))
-    return F.transform(F.slice(F.sort_array(pairs, asc=not largest), 1, n), lambda x: x["v"])
+def arg_min_n(df: DataFrame, keys: list[str], value: str, by: str, n: int, name: str, largest: bool = False) -> DataFrame:
+    """For each key the values of the n smallest (or largest) `by`, in order, ties by value; null `by` do not count. Groups are cut to n rows before they are gathered."""
+    order = [F.desc(by), F.desc(value)] if largest else [F.asc(by), F.asc(value)]
+    few = df.where(F.col(by).isNotNull()).withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n)
+    few = few.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__r", F.col(value).alias("v")))).alias("__a"))
+    return few.select(*keys, F.transform("__a", lambda x: x["v"]).alias(name))
 
 
 def list_all(value: str, *by: str) -> Column:
@@ -58,3 +60,9 @@ def enum_columns(df: DataFrame, most: int = 20, ratio: float = 0.05) -> list[str
     texts = [c for c, t in df.dtypes if t == "string"]
     r = df.agg(F.count("*").alias("n"), *(F.approx_count_distinct(c).alias(c) for c in texts)).first()
     return [c for c in texts if r["n"] and r[c] <= most and r[c] / r["n"] <= ratio]
+
+
+def describe(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, data_type) of the tables."""
+    spark = next(iter(tables.values())).sparkSession
+    return spark.createDataFrame([(t, c, k) for t, df in tables.items() for c, k in df.dtypes], "table_name string, column_name string, data_type string")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _same(a: DataFrame, b: DataFrame, key: Sequence[str]) -> Column:
@@ -43,7 +45,7 @@ def update(target: DataFrame, sets: dict[str, Column], where: Column | None = No
 
 def update_from(target: DataFrame, source: DataFrame, key: Sequence[str], sets: dict[str, str]) -> DataFrame:
     """UPDATE ... FROM: sets maps a column to SQL over t and s; a key may occur once in the source."""
-    _unique(source, key)
+    source = _single(source, key)
     both = target.alias("t").join(source.withColumn("__s", F.lit(1)).alias("s"), [F.col(f"t.{k}") == F.col(f"s.{k}") for k in key], "left")
     return both.select(*(F.when(F.col("__s") == 1, F.expr(sets[c])).otherwise(F.col(f"t.{c}")).alias(c) if c in sets else F.col(f"t.{c}") for c in target.columns))
 
@@ -56,9 +58,10 @@ def delete_using(target: DataFrame, source: DataFrame, key: Sequence[str]) -> Da
     return target.join(source.select(*key), list(key), "left_anti").select(*target.columns)
 
 
-def _unique(source: DataFrame, key: Sequence[str]) -> None:
-    if source.groupBy(*key).count().where("count > 1").limit(1).count():
-        raise ValueError("several source rows match one key")
+def _single(source: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The source, failing where a key occurs twice; the check is part of the plan."""
+    n = F.count("*").over(Window.partitionBy(*key))
+    return source.withColumn("__n", n).where(F.when(F.col("__n") > 1, F.raise_error(F.lit("several source rows match one key")).isNull()).otherwise(F.lit(True))).drop("__n")
 
 
 def merge(target: DataFrame, source: DataFrame, key: Sequence[str], matched: Sequence[tuple[str | None, str, dict | None]] = (), unmatched: Sequence[tuple[str | None, dict | None]] = ((None, None),), missing: Sequence[tuple[str | None, str, dict | None]] = ()) -> DataFrame:
@@ -69,7 +72,7 @@ def merge(target: DataFrame, source: DataFrame, key: Sequence[str], matched: Seq
     missing (rows of the target without a source row): as matched, over t.
     Several source rows for one key are an error.
     """
-    _unique(source, key)
+    source = _single(source, key)
     both = target.withColumn("__t", F.lit(1)).alias("t").join(source.withColumn("__s", F.lit(1)).alias("s"), [F.col(f"t.{k}") == F.col(f"s.{k}") for k in key], "full")
     rules = [(F.col("__t").isNotNull() & F.col("__s").isNotNull(), c, a, v) for c, a, v in matched]
     rules += [(F.col("__t").isNull(), c, "insert", v) for c, v in unmatched]
@@ -107,50 +110,106 @@ def violations(df: DataFrame, key: Sequence[str] = (), not_null: Sequence[str] =
     return out
 
 
+class Conflict(RuntimeError):
+    """Another writer committed first."""
+
+
 class Table:
-    """A Parquet table as numbered versions in a folder; a pointer file names the current one, so that a commit is one small write."""
+    """A Parquet table as folders that a numbered manifest lists.
+
+    A commit writes new folders, then one manifest under a name that nobody
+    reads, and renames it to the next number: readers see the manifest before
+    or the one after, and a crash in between leaves the one before. A second
+    writer of the same number gets a Conflict. Appending adds a folder and
+    rewrites nothing.
+    """
 
     def __init__(self, spark: SparkSession, path: str, read_only: bool = False):
         self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
 
-    def _hadoop(self, path: str):
+    def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def version(self) -> str | None:
-        fs, p = self._hadoop(f"{self.path}/_current")
+    def _numbers(self) -> list[int]:
+        fs, p = self._fs(self.path)
         if not fs.exists(p):
-            return None
-        return self.spark.read.text(f"{self.path}/_current").first()[0]
-
-    def read(self) -> DataFrame:
-        v = self.version()
-        if v is None:
+            return []
+        names = (s.getPath().getName() for s in fs.listStatus(p))
+        return sorted(int(n.removeprefix("_manifest-")) for n in names if n.startswith("_manifest-"))
+
+    def version(self) -> int | None:
+        numbers = self._numbers()
+        return numbers[-1] if numbers else None
+
+    def manifest(self, version: int | None = None) -> dict:
+        """{schema, folders} of a version, the current one by default."""
+        n = self.version() if version is None else version
+        if n is None:
             raise FileNotFoundError(self.path)
-        return self.spark.read.parquet(f"{self.path}/{v}")
-
-    def commit(self, df: DataFrame, partition_by: Sequence[str] = ()) -> None:
+        fs, p = self._fs(f"{self.path}/_manifest-{n:012d}")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _publish(self, schema, folders: list[str], after: int | None) -> int:
+        n = 0 if after is None else after + 1
+        fs, temporary = self._fs(f"{self.path}/_next-{uuid.uuid4().hex}")
+        _, final = self._fs(f"{self.path}/_manifest-{n:012d}")
+        out = fs.create(temporary, False)
+        out.write(json.dumps({"schema": schema.json(), "folders": folders}).encode())
+        out.close()
+        if fs.exists(final) or not fs.rename(temporary, final):
+            fs.delete(temporary, False)
+            raise Conflict(f"{self.path}: version {n} exists")
+        return n
+
+    def _write(self, df: DataFrame, partition_by: Sequence[str]) -> str:
         if self.read_only:
             raise PermissionError("read-only table")
         name = f"v-{uuid.uuid4().hex}"
         df.write.partitionBy(*partition_by).parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "v string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_current")
-
-    def append(self, df: DataFrame) -> None:
-        if self.version() is None:
-            self.commit(df)
-        elif self.read_only:
-            raise PermissionError("read-only table")
-        else:
-            df.write.mode("append").parquet(f"{self.path}/{self.version()}")
+        return name
+
+    def read(self, version: int | None = None) -> DataFrame:
+        m = self.manifest(version)
+        schema = T.StructType.fromJson(json.loads(m["schema"]))
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{f}") for f in m["folders"]]
+        out = parts[0] if parts else self.spark.createDataFrame([], schema)
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out.select(*(F.col(f"`{c}`") for c in schema.names))
+
+    def commit(self, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
+        """df is the table from now on; it may be made from what the table holds. Returns the version."""
+        before = self.version()
+        return self._publish(df.schema, [self._write(df, partition_by)], before)
+
+    def append(self, df: DataFrame, partition_by: Sequence[str] = ()) -> int:
+        before = self.version()
+        if before is None:
+            return self.commit(df, partition_by)
+        m = self.manifest(before)
+        schema = T.StructType.fromJson(json.loads(m["schema"]))
+        fitted = df.select(*(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema))
+        return self._publish(schema, [*m["folders"], self._write(fitted, partition_by)], before)
+
+    def rollback(self, version: int) -> int:
+        """An older version's content as the next version."""
+        m = self.manifest(version)
+        return self._publish(T.StructType.fromJson(json.loads(m["schema"])), m["folders"], self.version())
 
     def sweep(self) -> int:
-        """Delete versions other than the current one; returns their number."""
-        fs, p = self._hadoop(self.path)
-        gone = 0
+        """Delete folders and manifests that the current version does not need; returns the number of folders."""
+        fs, p = self._fs(self.path)
+        keep, gone = set(self.manifest()["folders"]), 0
         for s in fs.listStatus(p):
             name = s.getPath().getName()
-            if name.startswith("v-") and name != self.version():
+            if name.startswith("v-") and name not in keep:
                 fs.delete(s.getPath(), True)
                 gone += 1
+            elif name.startswith("_manifest-") and int(name.removeprefix("_manifest-")) != self.version():
+                fs.delete(s.getPath(), False)
         return gone

@@ -15,6 +15,7 @@ from .star import interval
 
 # The strategy names.
 STRATEGIES = ("replace", "truncate+insert", "append", "delete+insert", "merge", "scd2", "none")
+# The contract names.
 CONTRACTS = ("evolve", "freeze", "discard_row", "discard_value")
 FROM, TO = "_scd_valid_from", "_scd_valid_to"
 
@@ -30,14 +31,29 @@ class IngestPlan:
     incremental_key: str | None = None
     interval_start: str | None = None
     interval_end: str | None = None
+    partition_by: str | None = None
+    cluster_by: tuple[str, ...] = ()
     contract: str = "evolve"
+    naming: str = "direct"
+    full_refresh: bool = False
+    extract_parallelism: int | None = None
+    page_size: int | None = None
+    progress: str | None = None
+    debug: bool = False
+    columns: str | None = None
+    exclude: tuple[str, ...] = ()
+    limit: int | None = None
     mask: tuple[str, ...] = ()
+    metadata: bool = True
+    yes: bool = False
 
     @classmethod
     def from_dict(cls, raw: dict) -> "IngestPlan":
         """From JSON with snake_case or camelCase names; text lists may be comma-separated; unknown names are ignored."""
         flat = {re.sub(r"([A-Z])", r"_\1", k).lower().replace("-", "_"): v for k, v in raw.items()}
         flat["strategy"] = flat.get("strategy") or flat.get("incremental_strategy")
+        flat["contract"] = flat.get("contract") or flat.get("schema_contract")
+        flat["naming"] = flat.get("naming") or flat.get("schema_naming")
         if flat.get("source_query"):
             flat["source_table"] = f"query:{flat['source_query']}"
         out = {}
@@ -45,7 +61,11 @@ class IngestPlan:
             v = flat.get(f.name)
             if v is None:
                 continue
-            if f.name in ("primary_key", "mask"):
+            if f.name in ("extract_parallelism", "page_size", "limit"):
+                v = int(v)
+            if f.name in ("full_refresh", "debug", "metadata", "yes"):
+                v = v if isinstance(v, bool) else str(v).lower() in ("1", "true", "yes", "on")
+            if f.name in ("primary_key", "mask", "cluster_by", "exclude"):
                 v = tuple(x.strip() for x in v.split(",")) if isinstance(v, str) else tuple(map(str, v))
             out[f.name] = v
         return cls(**out)
@@ -77,12 +97,32 @@ class IngestPlan:
             words += ["--incremental-key", self.incremental_key]
         for k in self.primary_key:
             words += ["--primary-key", k]
-        for n in ("interval_start", "interval_end"):
+        for n in ("interval_start", "interval_end", "partition_by"):
             if getattr(self, n):
                 words += [f"--{n.replace('_', '-')}", getattr(self, n)]
+        for c in self.cluster_by:
+            words += ["--cluster-by", c]
+        if self.contract != "evolve":
+            words += ["--schema-contract", self.contract]
+        if self.naming != "direct":
+            words += ["--schema-naming", self.naming]
+        words += ["--full-refresh"] if self.full_refresh else []
+        for n in ("extract_parallelism", "page_size", "progress"):
+            if getattr(self, n):
+                words += [f"--{n.replace('_', '-')}", str(getattr(self, n))]
+        words += ["--debug"] if self.debug else []
+        if self.columns:
+            words += ["--columns", self.columns]
         for m in self.mask:
             words += ["--mask", m]
-        return words
+        return words + (["--yes"] if self.yes else [])
+
+
+def from_environment(given: dict, environment: dict, prefix: str = "SPARKLOOM_") -> dict:
+    """Settings of a plan: given ones first, then variables PREFIX_NAME, then the defaults."""
+    names = {f.name for f in fields(IngestPlan)} | {"source_query", "incremental_strategy"}
+    env = {k.removeprefix(prefix).lower(): v for k, v in environment.items() if k.startswith(prefix)}
+    return {k: v for k, v in env.items() if k in names} | {k: v for k, v in given.items() if v is not None}
 
 
 def apply(strategy: str, target: DataFrame | None, stage: DataFrame, key=(), incremental_key: str | None = None, start=None, end=None) -> DataFrame | None:
@@ -136,11 +176,31 @@ def scd2(target: DataFrame | None, stage: DataFrame, key: list[str], by: str) ->
     return out if closed is None else closed.unionByName(out)
 
 
+LSN, GONE = "_lsn", "_deleted"
+
+
+def logged(feed: DataFrame, op: str = "op", lsn: str = "lsn") -> DataFrame:
+    """A change feed as rows with their LSN and a mark on deletions."""
+    return feed.select(*(c for c in feed.columns if c not in (op, lsn)), F.col(lsn).cast("long").alias(LSN), (F.col(op) == "D").alias(GONE))
+
+
+def current(log: DataFrame, key: list[str]) -> DataFrame:
+    """What logged changes stand for: the row of the greatest LSN of each key, unless that deletes it."""
+    return dml.latest(log, key, LSN).where(~F.col(GONE)).drop(LSN, GONE)
+
+
 def changes(target: DataFrame, feed: DataFrame, key: list[str], op: str = "op", lsn: str = "lsn") -> DataFrame:
-    """Apply a change feed (I, U, D): the last operation of each key wins; applying a feed again changes nothing."""
-    last = dml.latest(feed, key, lsn)
-    gone = last.where(F.col(op) == "D")
-    return dml.upsert(dml.delete_using(target, gone, key), last.where(F.col(op) != "D").select(*target.columns), key)
+    """Apply a change feed (I, U, D): the last operation of each key wins; applying a feed again changes nothing.
+
+    A target with LSN and deletion marks (`logged`) keeps them, so that an
+    older operation that comes later loses. One without is taken as older than
+    all of the feed.
+    """
+    if LSN in target.columns:
+        return dml.latest(target.unionByName(logged(feed, op, lsn)), key, LSN)
+    old = target.select("*", F.lit(None).cast("long").alias(LSN), F.lit(False).alias(GONE))
+    rows = feed.select(*target.columns, F.col(lsn).cast("long").alias(LSN), (F.col(op) == "D").alias(GONE))
+    return current(old.unionByName(rows), key)
 
 
 # ---- schema ----
@@ -198,6 +258,46 @@ def align(target: DataFrame, source: DataFrame, contract: str) -> tuple[DataFram
     return target, source.select(*cols)
 
 
+@dataclass(frozen=True)
+class Change:
+    """One step of a schema's evolution."""
+
+    kind: str  # add, drop, widen, text, relax
+    column: str
+    type: str = ""
+
+    def sql(self, table: str) -> str:
+        name = f"ALTER TABLE {table} "
+        if self.kind == "add":
+            return name + f"ADD COLUMN {self.column} {self.type}"
+        if self.kind == "drop":
+            return name + f"DROP COLUMN {self.column}"
+        return name + f"ALTER COLUMN {self.column} " + ("DROP NOT NULL" if self.kind == "relax" else f"TYPE {self.type}")
+
+
+def evolution(target: T.StructType, source: T.StructType) -> list[Change]:
+    """What turns the target's schema into one that the source fits: no renames, no keys, nothing tightened."""
+    drift = compare(target, source)
+    out = [Change("add", c, source[c].dataType.simpleString()) for c in drift["added"]]
+    out += [Change("drop", c) for c in drift["removed"]]
+    out += [Change("widen", c, source[c].dataType.simpleString()) for c in drift["widened"]]
+    out += [Change("text", c, "string") for c in drift["incompatible"]]
+    return out + [Change("relax", f.name) for f in target if not f.nullable and f.name in source.names and source[f.name].nullable]
+
+
+def naming(df: DataFrame, mode: str) -> DataFrame:
+    """direct: as they are; snake_case: all; auto: snake_case where a name is not plain already. Two columns of one name are an error."""
+    from ..functions.dialect import snake_case
+
+    if mode not in ("direct", "snake_case", "auto"):
+        raise ValueError(f"unknown naming {mode}")
+    plain = re.compile(r"[a-z_][a-z0-9_]*\Z")
+    names = [c if mode == "direct" or mode == "auto" and plain.match(c) else snake_case(c) for c in df.columns]
+    if len(set(names)) < len(names):
+        raise ValueError("two columns get one name")
+    return df.toDF(*names)
+
+
 def infer(df: DataFrame) -> T.StructType:
     """Types for an all-text frame: the narrowest of bigint, double and string that all values allow; one pass."""
     tests = []
@@ -209,6 +309,22 @@ def infer(df: DataFrame) -> T.StructType:
     return T.StructType([T.StructField(c, kind(c), r[f"{c}__n"] < r[f"{c}__a"]) for c in df.columns])
 
 
+def infer_records(rows: list[dict], sample: int = 1000) -> T.StructType:
+    """Types for records without a schema, from the first `sample`: columns are joined, numbers widen, mixed kinds become text, nested values JSON text."""
+    kinds: dict[str, set] = {}
+    seen: dict[str, int] = {}
+    rows = rows[:sample]
+    for r in rows:
+        for k, v in r.items():
+            known = kinds.setdefault(k, set())
+            if v is not None:
+                seen[k] = seen.get(k, 0) + 1
+                known.add("json" if isinstance(v, (dict, list)) else "boolean" if isinstance(v, bool) else "bigint" if isinstance(v, int) else "double" if isinstance(v, float) else "string")
+    pick = lambda k: next(iter(k)) if len(k) == 1 else "double" if k == {"bigint", "double"} else "string"
+    types = {"json": T.StringType(), "boolean": T.BooleanType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}
+    return T.StructType([T.StructField(k, types[pick(v)] if v else T.StringType(), seen.get(k, 0) < len(rows)) for k, v in kinds.items()])
+
+
 def explicit(df: DataFrame, spec: str) -> DataFrame:
     """`name:type` or `name:type:source`, comma-separated; other columns stay."""
     for part in filter(None, (x.strip() for x in spec.split(","))):
@@ -268,3 +384,113 @@ def months(start: date, end: date) -> list[tuple[date, date]]:
         out.append((start, min(nxt, end)))
         start = nxt
     return out
+
+
+# ---- running a plan ----
+
+
+def retried(run, attempts: int = 3, wait: float = 0.0):
+    """run(), again after a failure, `attempts` times in all; the last failure is raised."""
+    import time
+
+    for i in range(attempts):
+        try:
+            return run()
+        except Exception:
+            if i == attempts - 1:
+                raise
+            time.sleep(wait * 2**i)
+
+
+def extract(spark, plan: IngestPlan, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The source's rows: `query:SQL` over tables, with :interval_start and :interval_end as parameters, or a URI and its table. Only columns and rows that the plan wants are read."""
+    from ..sources import uris
+
+    if plan.source_table.startswith("query:"):
+        for n, df in (tables or {}).items():
+            df.createOrReplaceTempView(n)
+        text = plan.source_table.removeprefix("query:")
+        args = {n: getattr(plan, n) for n in ("interval_start", "interval_end") if f":{n}" in text}
+        df = spark.sql(text, args=args)
+    elif tables and plan.source_table in tables:
+        df = tables[plan.source_table]
+    else:
+        options = {"table": plan.source_table, "parallelism": plan.extract_parallelism, "page_size": plan.page_size} if uris.kind(plan.source_uri.partition("://")[0]) == "jdbc" else {}
+        df = uris.read(spark, plan.source_uri, **options)
+    df = df.drop(*plan.exclude)
+    if plan.incremental_key and not plan.source_table.startswith("query:"):
+        df = interval(df, plan.incremental_key, plan.interval_start, plan.interval_end)
+    return df.limit(plan.limit) if plan.limit else df
+
+
+def run(spark, plan: IngestPlan, database, tables: dict[str, DataFrame] | None = None, keep_staging: bool = False) -> dict:
+    """Extract, name, type, mask and stamp, hold against the contract, stage, apply the strategy, commit. Returns what was done.
+
+    The stage is a table of its own, so that the source is read once; it goes
+    after the commit unless it is to be kept. `none` resolves the plan and
+    writes nothing.
+    """
+    why = plan.errors()
+    if why:
+        raise ValueError("; ".join(why))
+    df = naming(extract(spark, plan, tables), plan.naming)
+    if plan.columns:
+        df = explicit(df, plan.columns)
+    df = mask(df, *plan.mask)
+    if plan.metadata:
+        df = stamp(df, plan.source_uri, plan.source_table)
+    strategy = "replace" if plan.full_refresh else plan.pick()
+    if strategy == "none":
+        return {"strategy": strategy, "schema": df.schema.simpleString(), "rows": 0}
+    target_table = database.table(plan.dest_table)
+    name = staging_name(plan.dest_table, strategy)
+    database.create_as(name, df)
+    stage = database.read(name)
+    target = target_table.read() if target_table.version() is not None else None
+    if target is not None and strategy not in ("replace", "scd2"):
+        target, stage = align(target, stage, plan.contract)
+    if strategy == "append" and target is not None and target.columns == target_table.read().columns:
+        target_table.append(stage)
+    else:
+        start, end = (None, None) if plan.source_table.startswith("query:") else (plan.interval_start, plan.interval_end)
+        out = apply(strategy, target, stage, plan.primary_key, plan.incremental_key, start, end)
+        out = out.sortWithinPartitions(*plan.cluster_by) if plan.cluster_by else out
+        target_table.commit(out, [plan.partition_by] if plan.partition_by else ())
+    rows = stage.count()
+    if not keep_staging:
+        database.drop(name)
+    return {"strategy": strategy, "schema": df.schema.simpleString(), "rows": rows}
+
+
+def staging_name(table: str, strategy: str) -> str:
+    import time
+    import uuid
+
+    return f"staging__{table}__{re.sub('[^a-z0-9]', '_', strategy)}__{int(time.time())}__{uuid.uuid4().hex[:8]}"
+
+
+def sweep_staging(database, hours: float = 24, now: float | None = None) -> list[str]:
+    """Drop staging tables older than their time to live; returns their names."""
+    import time
+
+    now, gone = time.time() if now is None else now, []
+    for n in database.tables():
+        parts = n.split("__")
+        if n.startswith("staging__") and now - int(parts[-2]) > hours * 3600:
+            database.drop(n)
+            gone.append(n)
+    return gone
+
+
+def run_all(spark, plans: list[IngestPlan], database, tables: dict[str, DataFrame] | None = None, parallel: int = 4) -> DataFrame:
+    """Several loads at a time, each on its own: (table, state, rows, reason), one row for each plan."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(plan):
+        try:
+            return (plan.dest_table, "success", run(spark, plan, database, tables)["rows"], None)
+        except Exception as e:  # a load that fails is counted, and the others go on
+            return (plan.dest_table, "failed", 0, str(e).splitlines()[0][:200])
+
+    with ThreadPoolExecutor(parallel) as pool:
+        return spark.createDataFrame(list(pool.map(one, plans)), "table string, state string, rows bigint, reason string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def asof(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right_time: str, how: str = "inner", prefix: str = "r_") -> DataFrame:
     """Each left row with the latest right row of the same keys at or before its time.
@@ -31,15 +33,30 @@ def asof(left: DataFrame, right: DataFrame, on: list[str], left_time: str, right
 
 
 def positional(left: DataFrame, right: DataFrame, left_by: list[Column], right_by: list[Column], key: str = "pos") -> DataFrame:
-    """Rows side by side in the given orders; the shorter side is filled with nulls. Positions come from range-partition counts, not from one task."""
-    return _numbered(left, left_by, key).join(_numbered(right, right_by, key), key, "full")
+    """Rows side by side in the given orders; the shorter side is filled with nulls. Rows that tie on the order come in any order."""
+    return numbered(left, left_by, key).join(numbered(right, right_by, key), key, "full")
+
+
+def numbered(df: DataFrame, by: list[Column], key: str = "pos") -> DataFrame:
+    """df with each row's place in the order, from 1, without a task that holds all rows.
+
+    Rows are dealt by range of the order, ties by a row number, and written with
+    the number of their range, so that counts and places refer to the same
+    ranges; a range's places follow the counts of the ranges before it.
+    """
+    ranged = df.withColumn("__i", F.monotonically_increasing_id())
+    ranged = stored(ranged.repartitionByRange(*by, "__i").withColumn("__p", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy("__p").agg(F.count("*").alias("__n"))
+    base = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # one row for each range
+    place = F.row_number().over(Window.partitionBy("__p").orderBy(*by, "__i"))
+    return ranged.withColumn("__r", place).join(F.broadcast(base), "__p").withColumn(key, F.col("__b") + F.col("__r")).drop("__p", "__i", "__r", "__b")
 
 
-def _numbered(df: DataFrame, by: list[Column], key: str) -> DataFrame:
-    parts = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    counts = parts.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("lo"))
-    base = counts.select("__p", "lo", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("b"))  # one row for each partition
-    return parts.join(F.broadcast(base), "__p").withColumn(key, F.col("b") + F.col("__i") - F.col("lo") + 1).drop("__p", "__i", "b", "lo")
+def count_smaller(df: DataFrame, value: str, name: str = "n") -> DataFrame:
+    """df with the number of rows whose value is smaller; null values get null. Places in the order take the place of comparing all pairs."""
+    known = numbered(df.where(F.col(value).isNotNull()).select(value), [F.asc(value)], "__pos")
+    first = known.groupBy(value).agg((F.min("__pos") - 1).alias(name))
+    return df.join(first, value, "left").select(*df.columns, name)
 
 
 def within(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:

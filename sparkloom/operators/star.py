@@ -63,6 +63,13 @@ def unpivot(df: DataFrame, ids: list[str], values: list[str], name: str, value:
     return df.unpivot(ids, values, name, value).where(F.col(value).isNotNull())
 
 
+def not_in(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
+    """NOT IN with SQL's nulls: a null in the other column lets no row through, a null in this one only if the other is empty. An anti join and one row of counts, nothing broadcast but that row."""
+    seen = other.agg(F.count("*").alias("__all"), F.count_if(F.col(other_column).isNull()).alias("__nulls"))
+    left = df.join(other.select(F.col(other_column).alias("__k")), F.col(column) == F.col("__k"), "left_anti")
+    return left.join(F.broadcast(seen)).where((F.col("__all") == 0) | (F.col("__nulls") == 0) & F.col(column).isNotNull()).drop("__all", "__nulls")
+
+
 def keyset_page(df: DataFrame, key: str, after, size: int) -> DataFrame:
     page = df if after is None else df.where(F.col(key) > F.lit(after))
     return page.orderBy(key).limit(size)
@@ -73,3 +80,9 @@ def interval(df: DataFrame, key: str, start=None, end=None) -> DataFrame:
     if start is not None:
         df = df.where(F.col(key) >= F.lit(start))
     return df if end is None else df.where(F.col(key) < F.lit(end))
+
+
+def page(df: DataFrame, sort: str, descending: bool = True, tie: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of a listing: by a field in either direction, ties by another."""
+    by = order(sort, descending=descending) + ([F.col(tie).asc()] if tie else [])
+    return df.orderBy(*by).offset(offset).limit(limit)

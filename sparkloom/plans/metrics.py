@@ -2,42 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import numbered
+from ..session import stored
+
 
 def daily(orders: DataFrame, day: str = "o_orderdate", amount: str = "o_totalprice", user: str = "o_custkey") -> DataFrame:
     """Orders, revenue and buyers of each day."""
     return orders.groupBy(F.to_date(day).alias("order_date")).agg(F.count("*").alias("n"), F.sum(F.col(amount).cast("decimal(18,2)")).cast("double").alias("gmv"), F.count_distinct(user).alias("dau"))
 
 
-def rfm(orders: DataFrame, user: str = "o_custkey", day: str = "o_orderdate", amount: str = "o_totalprice", tiles: int = 5, one_task: int = 2_000_000) -> DataFrame:
-    """Recency, frequency and money scores of each buyer, 1 to `tiles`, and a segment; ties by user.
+def tiled(df: DataFrame, by: list, tiles: int, name: str) -> DataFrame:
+    """df with its tile, from 1, of as many as equal ones in the given order; larger tiles come first."""
+    rows = stored(numbered(df, by, "__pos"), "tiles")
+    n = rows.agg(F.count("*").alias("__n"))
+    rows = rows.join(F.broadcast(n))  # one row
+    size, extra, r = F.expr(f"__n div {tiles}"), F.expr(f"__n % {tiles}"), F.col("__pos") - 1
+    big = extra * (size + 1)
+    tile = F.when(r < big, F.floor(r / (size + 1))).otherwise(extra + F.floor((r - big) / F.greatest(size, F.lit(1))))
+    return rows.withColumn(name, (tile + 1).cast("int")).drop("__pos", "__n")
+
 
-    Up to `one_task` buyers are ranked by plain windows, one slim row each.
-    Beyond, tiles come from exact ranks: a value's rank is the number of buyers
-    before it plus its place among equals, so no task holds all buyers.
-    """
+def rfm(orders: DataFrame, user: str = "o_custkey", day: str = "o_orderdate", amount: str = "o_totalprice", tiles: int = 5) -> DataFrame:
+    """Recency, frequency and money scores of each buyer, 1 to `tiles`, and a segment; ties by user. No task holds all buyers, nor all that have one value."""
     per = orders.groupBy(F.col(user).alias("user_id")).agg(F.max(day).alias("last"), F.count("*").alias("frequency"), F.sum(F.col(amount).cast("decimal(18,2)")).alias("monetary"))
-    scores = (("last", "r_score"), ("frequency", "f_score"), ("monetary", "m_score"))
-    if one_task and orders.agg(F.approx_count_distinct(user)).first()[0] <= one_task:
-        for c, name in scores:
-            per = per.withColumn(name, F.ntile(tiles).over(Window.orderBy(c, "user_id")))
-        return _segments(per, tiles)
-    n = orders.agg(F.count_distinct(user).alias("__n"))
-    for c, name in scores:
-        sizes = per.groupBy(c).agg(F.count("*").alias("__k"))
-        parts = sizes.repartitionByRange(c).withColumn("__p", F.spark_partition_id())
-        totals = parts.groupBy("__p").agg(F.sum("__k").alias("__t"))
-        base = totals.select("__p", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # one row for each partition
-        ahead = F.coalesce(F.sum("__k").over(Window.partitionBy("__p").orderBy(c).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ranks = parts.withColumn("__a", ahead).join(F.broadcast(base), "__p").select(c, (F.col("__a") + F.col("__b")).alias("__a"))
-        among = F.row_number().over(Window.partitionBy(c).orderBy("user_id"))
-        per = per.join(ranks, c).withColumn("__r", F.col("__a") + among - 1).join(F.broadcast(n))
-        size, extra = F.expr(f"__n div {tiles}"), F.expr(f"__n % {tiles}")
-        big = extra * (size + 1)
-        tile = F.when(F.col("__r") < big, F.floor(F.col("__r") / (size + 1))).otherwise(extra + F.floor((F.col("__r") - big) / F.greatest(size, F.lit(1))))
-        per = per.withColumn(name, (tile + 1).cast("int")).drop("__a", "__r", "__n")
+    for c, name in (("last", "r_score"), ("frequency", "f_score"), ("monetary", "m_score")):
+        per = tiled(per, [F.asc(c), F.asc("user_id")], tiles, name)
     return _segments(per, tiles)
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -10,8 +9,18 @@ from ..functions.dialect import cosine
 from ..session import load
 from .catalogue import frame
 
-LINES = "SELECT doc_id, i::INT AS line, t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)"
-RULES = " UNION ALL ".join(f"SELECT doc_id, line, '{r}' AS rule, '{sev}' AS severity FROM l WHERE regexp_matches(t, '{p}', '{'i' if i else 'c'}')" for r, sev, p, i in text.RULES)
+LINES = "SELECT doc_id, i::INT AS line, t FROM (SELECT doc_id, unnest(string_split_regex(text, '\\r?\\n')) AS t, generate_subscripts(string_split_regex(text, '\\r?\\n'), 1) AS i FROM documents)"
+
+
+def quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def matches(rules, where: str = "true") -> str:
+    return " UNION ALL ".join(f"SELECT doc_id, line, '{r}' AS rule, '{sev}' AS severity, {quoted(text.advice(r)[0])} AS message, {quoted(text.advice(r)[1])} AS fix FROM l WHERE {where} AND regexp_matches(t, {quoted(p)}, '{'i' if i else 'c'}')" for r, _, sev, p, i in rules)
+
+
+RULES = matches(text.RULES)
 
 
 @frame(f"WITH l AS ({LINES}) {RULES}")
@@ -29,16 +38,6 @@ def K13_content_hash(s, d):
     return load(s, d, "documents").where("text IS NOT NULL").select("doc_id", text.content_hash("text", "lang", "source").alias("h"))
 
 
-@frame("SELECT min(doc_id) AS doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL GROUP BY sha256(text)")
-def K14_hash_once(s, d):
-    return load(s, d, "documents").where("text IS NOT NULL").groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "h")
-
-
-@frame("WITH w AS (SELECT doc_id, lower(unnest(regexp_extract_all(text, '[a-zA-Z0-9]+'))) AS w FROM documents), c AS (SELECT doc_id, w, count(*) AS n FROM w WHERE length(w) > 1 GROUP BY ALL) SELECT doc_id, w, n FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) <= 3")
-def K12_keywords(s, d):
-    return text.keywords(load(s, d, "documents"))
-
-
 @frame("WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 8) AS score FROM embeddings, q WHERE vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 10")
 def K16_similar(s, d):
     e = load(s, d, "embeddings")
@@ -55,8 +54,3 @@ def K20_stats(s, d):
 @frame("SELECT page_id, regexp_replace(url, '[^A-Za-z0-9_.-]', '_', 'g') AS name FROM pages")
 def K22_file_name(s, d):
     return load(s, d, "pages").select("page_id", F.regexp_replace("url", "[^A-Za-z0-9_.-]", "_").alias("name"))
-
-
-@frame("SELECT doc_id, CASE WHEN n_chars < 100 THEN 'delete' WHEN n_chars < 1000 THEN 'archive' ELSE 'keep' END AS fate FROM documents")
-def K18_retention(s, d):
-    return load(s, d, "documents").select("doc_id", F.when(F.col("n_chars") < 100, "delete").when(F.col("n_chars") < 1000, "archive").otherwise("keep").alias("fate"))

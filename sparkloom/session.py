@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,21 @@ def run_sql(spark: SparkSession, sf_dir: str, text: str, args: dict | None = Non
         if re.search(rf"\b{name}\b", text):
             load(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(text, args=args)
+
+
+def scratch(spark: SparkSession, label: str = "t") -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and the master is local."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, label: str = "t") -> DataFrame:
+    """df written once and read back: what follows sees the same rows in the same partitions' columns however often it is evaluated."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

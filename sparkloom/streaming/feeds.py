@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dml, ingest
+from ..session import scratch
 
 
 def files(spark: SparkSession, path: str, schema, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
@@ -37,13 +38,36 @@ def slot(source: str, dest: str, table: str) -> str:
     return f"{table}_{hashlib.sha256(f'{source}|{dest}|{table}'.encode()).hexdigest()[:12]}"
 
 
-def follow(feed: DataFrame, table: dml.Table, key: list[str], checkpoint: str):
-    """Apply a change feed to a table, batch by batch, until it is read up; a repeated batch changes nothing."""
+def follow(feed: DataFrame, table: dml.Table, key: list[str], checkpoint: str, op: str = "op", lsn: str = "lsn"):
+    """Add a change feed to a table, batch by batch, until it is read up. A batch costs as much as it holds: its changes are
+    appended with their LSN, and `current` gives each key's latest. A repeated batch, or one that comes late, changes nothing."""
 
     def apply(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            table.commit(ingest.changes(table.read(), batch, key))
+            table.append(ingest.logged(batch, op, lsn))
 
     q = feed.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def current(table: dml.Table, key: list[str]) -> DataFrame:
+    """The rows that a followed table stands for."""
+    return ingest.current(table.read(), key)
+
+
+def compact(table: dml.Table, key: list[str]) -> int:
+    """Keep each key's latest change only; deletions stay as marks, since older changes may still come."""
+    return table.commit(dml.latest(table.read(), key, ingest.LSN))
+
+
+def tumbling_stream(spark: SparkSession, batches: list[list[tuple]], size: str, late: str) -> DataFrame:
+    """Counts by window of (event_type, ts) rows that come as a stream, one file for each batch; events older than the watermark are left out."""
+    folder, checkpoint, out = scratch(spark, "in"), scratch(spark, "ck"), scratch(spark, "out")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "event_type string, ts string").withColumn("value", F.lit(1.0)).coalesce(1).write.mode("append").parquet(folder)
+        feed = files(spark, folder, "event_type string, ts string, value double", per_trigger=1)
+        counts = windowed(feed.withColumn("ts", F.to_timestamp("ts")), size, late=late)
+        counts.writeStream.foreachBatch(lambda b, n: b.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(out)
+    return dml.latest(rows, ["start", "event_type"], "batch").drop("batch")

@@ -1,9 +1,11 @@
 """Licence scan: Dice coefficient over word bigrams, in built-in functions only.
 
-A document's lines and its whole text are candidates. A template is
-tried only where the number of bigrams still lets the coefficient reach the
-threshold, and bigrams are formed only where a word occurs without which no
-template can.
+A document's lines, runs of up to RUN lines that follow one another, and its
+whole text are candidates, so that a notice may be wrapped inside a longer
+file. A template is tried only where the number of bigrams still lets the
+coefficient reach the threshold, and bigrams are formed only where a word occurs
+without which no template can. A run that reaches a template has such a word in
+one of its lines: runs are formed around those lines alone.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import without
 
 THRESHOLD = 0.8
+#: Lines of a run, at most.
+RUN = 6
 
 # Licence notices as their publishers word them.
 TEMPLATES = {
@@ -30,6 +34,20 @@ TEMPLATES = {
     "mit-notice": "Released under the MIT License.",
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights '
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+    "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-2-clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
 }
 PARTS = "[^a-z0-9]+"
 #: Words too common to tell anything; tried last.
@@ -65,7 +83,7 @@ def _bigrams(words: Column) -> Column:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """docs with _license (null: none), _score (best coefficient at or over the threshold, else 0) and _n_matches (matching lines).
+    """docs with _license (null: none), _score (best coefficient at or over the threshold, else 0) and _n_matches (matching single lines).
 
     Ties go to the template first in name order. Null and empty texts match
     nothing; repeated rows get the same; an empty table gives no rows. Templates
@@ -100,12 +118,22 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
         grams = F.filter(F.transform(words, _bigrams), lambda b: (F.size(b) >= F.lit(least)) & (F.size(b) <= F.lit(most)))
         return F.filter(F.transform(grams, score), lambda s: s.isNotNull())
 
+    def around(lines: Column) -> Column:
+        """Runs of 2 to RUN lines that hold a line with a telling word, each once."""
+        n = F.size(lines)
+        told = F.filter(F.sequence(F.lit(1), n), lambda i: tells(F.get(lines, i - 1)))
+        first = F.flatten(F.transform(told, lambda i: F.sequence(F.greatest(i - (RUN - 1), F.lit(1)), i)))
+        spans = F.transform(F.array_distinct(first), lambda a: F.transform(F.sequence(F.lit(2), F.lit(RUN)), lambda k: F.when(a + k - 1 <= n, F.array_join(F.slice(lines, a, k), " "))))
+        return F.filter(F.flatten(spans), lambda t: t.isNotNull() & tells(t))
+
     # parts are lambda variables, so that each is split once; the whole text counts beside its lines only if it has several
-    lines = found(F.filter(F.split(lower, "\n"), tells))
+    cut = F.transform(F.array(lower), lambda t: F.split(t, "\n"))
+    lines = F.flatten(F.transform(cut, lambda ls: found(F.filter(ls, tells))))
+    runs = F.flatten(F.transform(cut, lambda ls: found(F.when(F.size(ls) > 1, around(ls)).otherwise(F.array().cast("array<string>")))))
     whole = found(F.filter(F.array(lower), lambda t: F.instr(t, "\n") > 0))
-    out = docs.withColumn("_found", F.when(tells(lower), F.struct(lines.alias("lines"), whole.alias("whole"))))
+    out = docs.withColumn("_found", F.when(tells(lower), F.struct(lines.alias("lines"), runs.alias("runs"), whole.alias("whole"))))
     names = F.array(*map(F.lit, sets))
-    out = out.withColumn("_best", F.array_max(F.concat("_found.lines", "_found.whole")))
+    out = out.withColumn("_best", F.array_max(F.concat("_found.lines", "_found.runs", "_found.whole")))
     return out.select(
         *docs.columns,
         F.when(F.col("_best").isNotNull(), F.element_at(names, 1 - F.col("_best.i"))).alias("_license"),
@@ -120,8 +148,10 @@ def oracle(threshold: float = THRESHOLD) -> str:
     return f"""
 WITH t(i, name, grams) AS (VALUES {rows}),
 d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents),
+ls AS (SELECT r, string_split(text, chr(10)) AS ls FROM d),
 parts AS (
-  SELECT r, true AS line, unnest(string_split(text, chr(10))) AS part FROM d
+  SELECT r, true AS line, unnest(ls) AS part FROM ls
+  UNION ALL SELECT r, false, array_to_string(ls[a:a + k - 1], ' ') FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS a FROM ls WHERE len(ls) > 1) x, (SELECT unnest(range(2, {RUN + 1})) AS k) y WHERE a + k - 1 <= len(ls)
   UNION ALL SELECT r, false, text FROM d WHERE contains(text, chr(10))),
 w AS (SELECT r, line, list_filter(string_split_regex(lower(part), '{PARTS}'), lambda x: x <> '') AS w FROM parts),
 g AS (SELECT r, line, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS g FROM w WHERE len(w) > 1),

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import textwrap
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -221,3 +222,19 @@ def test_quality_odd_rows(spark):
     for r in got:
         by.setdefault(r.text or "", set()).add((r._posterior, r._score, r._keep))
     assert len(got) == 5 and all(len(x) == 1 for x in by.values())
+
+
+def test_licences_wrapped_and_whole(spark):
+    """Notices over several lines inside longer texts, and full texts, plain and wrapped."""
+    wrap = lambda t, n: "\n".join(textwrap.wrap(t, n))
+    around = "import os\n# a file of code\n{}\n\ndef main():\n    return 1\n" + "more code here\n" * 30
+    rows, want = [], {}
+    for i, name in enumerate(("apache-2.0-header", "mit-grant", "mpl-2.0-header", "bsd-notice")):
+        rows.append((i, around.format(wrap(licenses.TEMPLATES[name], 60))))
+        want[i] = name
+    for i, name in enumerate(("mit-text", "isc-text", "bsd-2-clause-text")):
+        rows += [(10 + i, licenses.TEMPLATES[name]), (20 + i, "Copyright 2020 A. Person\n\n" + wrap(licenses.TEMPLATES[name], 72))]
+        want |= {10 + i: name, 20 + i: name}
+    rows.append((30, around.format("nothing of the kind")))
+    got = {r.doc_id: r._license for r in licenses.scan(frame(spark, rows).drop("_score")).collect()}
+    assert got == want | {30: None}

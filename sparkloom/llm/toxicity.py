@@ -85,17 +85,12 @@ def units(sentence: str) -> list[str]:
 
 
 def text_runs(text: str, words: list[str], single: set[str]) -> list[str]:
-    """Units of single letters in a row, inside a sentence; words are the text's, single those that are one letter."""
-    if (b"\1" * ORDER) not in bytes(map(single.__contains__, words)):
+    """Units of single letters in a row, inside a sentence; words are the text's without edge marks, single those that are one letter."""
+    if not single or (b"\1" * ORDER) not in bytes(map(single.__contains__, words)):
         return []
     return [u for s in SPLIT.split(text) for u in runs(s.lower().split())]
 
 
-def _single(w: str) -> bool:
-    w = w.strip(EDGE)
-    return len(w) == 1 and w.isalpha()
-
-
 def _windows(u: str) -> list[str]:
     """u itself, or where it is long, windows that hold all of it."""
     return [u] if len(u) <= WINDOW else [u[i : i + WINDOW] for i in range(0, len(u) - WINDOW // 2, WINDOW // 2)]
@@ -107,12 +102,12 @@ def features(xs: list[str], ys: list[str], order: int = ORDER, decay: float = DE
     if not xs:
         return out
     a = np.minimum(_codes(xs), 0xFFFF)
-    holds = _letters(a)
+    holds, sizes = _letters(a), np.array([len(x) for x in xs])
     met = []
     for j, y in enumerate(ys):
         # each letter that x does not hold at all is one it lacks
         own = _letters(np.minimum(_codes([y]), 0xFFFF))[0]
-        at = np.nonzero(np.bitwise_count(own & ~holds) <= 1)[0]
+        at = np.nonzero((np.bitwise_count(own & ~holds) <= 1) & (sizes >= max(order, len(y) - 1)))[0]
         common, end = _common(a[at], y)
         ok = common >= max(order, len(y) - 1)
         met.append((at[ok], [xs[i][:e] for i, e in zip(at[ok].tolist(), end[ok].tolist())]))
@@ -390,20 +385,23 @@ def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
 
 def score_texts(model: Model, texts: list[str | None], known: dict[str, float]) -> list[float]:
     """Score of each text by its worst unit; known keeps the worst margin of each word."""
-    words = [(t or "").lower().split() for t in texts]
-    distinct = [set(w) for w in words]
-    new = set().union(*distinct) - known.keys()
-    if len(known) + len(new) > KNOWN:
+    words = [[w.strip(EDGE) for w in (t or "").lower().split()] for t in texts]
+    distinct = list(map(set, words))
+    seen = set().union(*distinct)
+    new = {w for w in seen if w not in known}
+    if len(known) + len(new) > KNOWN:  # those of these texts stay
+        kept = {w: known[w] for w in seen - new}
         known.clear()
-        new = set().union(*distinct)
+        known.update(kept)
     of = {w: word_units(w) for w in new}
-    single = set(filter(_single, set().union(*distinct)))
+    single = {w for w in seen if len(w) == 1 and w.isalpha()}
     loose = [text_runs(t or "", w, single) for t, w in zip(texts, words)]
     every = sorted({u for us in (*of.values(), *loose) for u in us})
     # nearly all units are far from every landmark and share one margin, and one float object
     margins = {u: model.bias if m == model.bias else m for u, m in zip(every, model.margins(every).tolist())}
     known.update((w, max(map(margins.__getitem__, us), default=-np.inf)) for w, us in of.items())
-    worst = [max((*map(known.__getitem__, d), *map(margins.__getitem__, r)), default=-np.inf) for d, r in zip(distinct, loose)]
+    worst = [max(map(known.__getitem__, d), default=-np.inf) for d in distinct]
+    worst = [max(m, *map(margins.__getitem__, r)) if r else m for m, r in zip(worst, loose)]
     return [model.probability(-1.5 if m == -np.inf else m) for m in worst]
 
 

@@ -39,6 +39,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to workers in Arrow batches of at most so many rows from now on: a batch is held by the JVM and by the worker at once."""
+    if int(spark.conf.get(BATCH)) > rows or int(spark.conf.get(BATCH)) <= 0:
+        spark.conf.set(BATCH, str(rows))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables of which all that is needed has been written elsewhere."""
     for t in tables:

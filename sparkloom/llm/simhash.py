@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, components, discard, fresh, materialise, release
+from .common import Remembered, components, discard, fresh, materialise, release, small_batches
 
 CHUNK = 8192
 SEED = 42
@@ -241,6 +241,7 @@ def links(nodes: DataFrame, words: int, radius: int, bands, chunk: int = CHUNK)
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, f0, component): the smallest id reachable over fingerprint links, itself included. Empty input gives no rows."""
+    small_batches(docs.sparkSession)
     prints = materialise(fingerprints(docs, shingle, id_col, text_col), "prints")
     nodes = materialise(prints.groupBy("f0").agg(F.min("id").alias("low")).select(F.col("f0").alias("node"), "f0", "low"), "nodes")
     found = components(links(nodes, 1, radius, exact_bands(radius)))
@@ -264,6 +265,8 @@ COUNTED = 8
 MEET = 8192
 #: Pairs that a task looks at together.
 PAIRS = 1 << 20
+#: Cells that a set's shingles are counted in, for a bound on what two sets share.
+CELLS = 256
 
 
 def _node(distinct: np.ndarray) -> int:
@@ -290,7 +293,7 @@ def _frequency(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, shingle: int, words: int) -> DataFrame:
-    """(id, h, f0.., node, n, prefix): n distinct shingles, of which the prefix holds the rarest, so many that sets NEAR each other share one.
+    """(id, h, f0.., node, n, prefix, cells): n distinct shingles, counted by cells of their hashes, of which the prefix holds the rarest, so many that sets NEAR each other share one.
 
     A shingle's key has its counter's logarithm in the upper 12 bits and
     its hash in the others, so that keys in order are shingles by rarity.
@@ -303,7 +306,7 @@ def _prefixes(texts: DataFrame, shingle: int, words: int) -> DataFrame:
         often, known = shared.value, word_hashes()
         fresh()
         for b in batches:
-            prints, node, size, prefix = [], [], [], []
+            prints, node, size, prefix, cells = [], [], [], [], []
             for t in b.column(2).cast(pa.binary()).to_pylist():
                 h = shingle_hashes(t, shingle, known)
                 s = np.unique(h)
@@ -313,17 +316,18 @@ def _prefixes(texts: DataFrame, shingle: int, words: int) -> DataFrame:
                 node.append(_node(s))
                 size.append(len(s))
                 prefix.append(np.sort(keys)[:keep].view(np.int64))
+                cells.append(np.bincount((s >> np.uint64(20)).astype(np.int64) % CELLS, minlength=CELLS).clip(0, 65535).astype(np.uint16).tobytes())
             a = np.array(prints, np.uint64).reshape(-1, words).view(np.int64)
             fs = [pa.array(a[:, w]) for w in range(words)]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), *fs, pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["id", "h", *(f"f{w}" for w in range(words)), "node", "n", "prefix"],
+                [b.column(0), b.column(1), *fs, pa.array(node, pa.int64()), pa.array(size, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(cells, pa.binary())],
+                names=["id", "h", *(f"f{w}" for w in range(words)), "node", "n", "prefix", "cells"],
             )
         known.clear()
         release()
 
     cols = ", ".join(f"f{w} long" for w in range(words))
-    return texts.select("id", "h", "t").mapInArrow(run, f"id long, h long, {cols}, node long, n int, prefix array<long>")
+    return texts.select("id", "h", "t").mapInArrow(run, f"id long, h long, {cols}, node long, n int, prefix array<long>, cells binary")
 
 
 def _shared(nodes: DataFrame) -> DataFrame:
@@ -396,14 +400,29 @@ def _near(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, shingle: int) ->
         known.clear()
         release()
 
+    def able(batches):
+        """Pairs that share enough if each cell shares all it can: 65535 shingles in a cell, the most that is counted, let a pair through."""
+        for b in batches:
+            u, v, a, c, n, m = b.columns
+            x, y = (np.frombuffer(b"".join(z.to_pylist()), np.uint16).reshape(-1, CELLS) for z in (a, c))
+            most = np.minimum(x, y).sum(1, dtype=np.int64)
+            ok = ((num + den) * most >= num * (n.to_numpy().astype(np.int64) + m.to_numpy())) | (x == 65535).any(1) | (y == 65535).any(1)
+            yield pa.RecordBatch.from_arrays([u.filter(pa.array(ok)), v.filter(pa.array(ok))], names=["u", "v"])
+
     pairs = materialise(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "pairs")
+    every = pairs
+    counted = nodes.select("node", "cells", "n")
+    pairs = pairs.join(counted.toDF("u", "a", "n"), "u").join(counted.toDF("v", "c", "m"), "v").select("u", "v", "a", "c", "n", "m")
+    pairs = materialise(pairs.mapInArrow(able, "u long, v long"), "able")
+    discard(every)
     ends = materialise(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "ends")
     needed = materialise(nodes.select("node", "some").join(ends, "node").select(F.col("some").alias("h")).distinct(), "needed")
     sets = texts.select("t", "h").join(needed, "h", "left_semi").select("t").mapInArrow(run, "node long, s array<long>")
     sets = materialise(sets.groupBy("node").agg(F.first("s").alias("s")), "sets")
     left, right = sets.select(F.col("node").alias("u"), F.col("s").alias("a")), sets.select(F.col("node").alias("v"), F.col("s").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
-    out = materialise(pairs.join(left, "u").join(right, "v").where((num + den) * both >= num * (F.size("a") + F.size("b"))).select("u", "v"), "near")
+    out = pairs.join(left, "u").join(right, "v").where((num + den) * both >= num * (F.size("a") + F.size("b"))).select("u", "v")
+    out = materialise(out, "near")
     discard(pairs, ends, needed, sets)
     return out
 
@@ -419,10 +438,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shingle, words = WIDE["shingle"], WIDE["words"]
     fs = [f"f{w}" for w in range(words)]
     text = F.col(text_col).cast("string")
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("t"), F.xxhash64(text).alias("h"))
     full = materialise(_prefixes(texts, shingle, words), "prints")
     prints = materialise(full.select("id", "h", "node"), "ids")
-    first = [F.first(c).alias(c) for c in (*fs, "n", "prefix")]
+    first = [F.first(c).alias(c) for c in (*fs, "n", "prefix", "cells")]
     nodes = materialise(full.groupBy("node").agg(F.min("h").alias("some"), *first), "nodes")
     discard(full)
     early = _near(links(nodes.select("node", *fs), words, WIDE["radius"], WIDE["bands"]), texts, nodes, shingle)

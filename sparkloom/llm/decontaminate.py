@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, materialise, release, without
+from .common import discard, fresh, materialise, release, small_batches, without
 
 BLOCK_BYTES = 16 << 20
 #: Words of a shingle.
@@ -82,6 +82,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, window: int = 10, text_col:
     Columns that have the results' names already are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = without(docs, "_mask", "_n_words", "_n_hit", "_items")
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_col).cast("string").alias("i"), F.col(item_text).cast("string").alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0

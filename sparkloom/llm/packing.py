@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, release
+from .common import materialise, release, small_batches
 from .token_cache import PieceEncoder, slices
 
 
@@ -177,6 +177,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     packed each on their own. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     cut = materialise(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
     per = materialise(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "lengths")
     counts = {r.length: r.n for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, release, without
+from .common import fresh, release, small_batches, without
 
 DIM = 1 << 16
 #: Documents that the scorer is fitted on, by smallest hash of their text.
@@ -118,6 +118,7 @@ def score(docs: DataFrame, sample: int = SAMPLE, text_col: str = "text") -> Data
     rows. Columns that have the results' names already are replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = without(docs, "_posterior", "_score", "_keep")
     at = docs.columns.index(text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))

@@ -29,12 +29,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, materialise, release, without
+from .common import discard, fresh, materialise, release, small_batches, without
 
 LENGTH = 200
 #: Bytes of the q-grams that refinement starts from, at most.
 GRAM = 50
-HOT = 4_000
+HOT = 20_000
 #: Bytes that are hashed, or refined, at a time.
 BUFFER = 1 << 20
 U = np.uint64
@@ -315,6 +315,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, hot: int = HOT, text_col: str =
     never cross rows. Where a cut parts a UTF-8 letter, the text column leaves
     out its other bytes; counts and digest are those of the bytes.
     """
+    small_batches(docs.sparkSession)
     docs = without(docs, "_n_bytes", "_n_removed", "_n_spans", "_kept_sha256")
     names = docs.columns
     at = names.index(text_col)

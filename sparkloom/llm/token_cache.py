@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Remembered, held, materialise, release, table_path
+from .common import Remembered, held, materialise, release, small_batches, table_path
 
 #: Pieces of either kind that a worker remembers.
 PIECES = 600_000
@@ -120,6 +120,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, version: str | None = Non
     Texts travel Zstandard-compressed, at most once from each partition.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = cache_path or table_path(spark, "counts")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, release, without
+from .common import fresh, release, small_batches, without
 
 ORDER = 4
 DECAY = 0.6
@@ -427,6 +427,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     column that is called _score already is replaced.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = without(docs, "_score")
     at = docs.columns.index(text_col)
     shared, names = spark.sparkContext.broadcast(model), [*docs.columns, "_score"]

@@ -45,6 +45,8 @@ WORN = 2
 PARTS = 4096
 #: Clean training documents that set the cut, and a third as many toxic ones.
 CALIBRATION = 1500
+#: Texts whose new words are scored at once.
+TOGETHER = 3000
 #: Words whose margins a task remembers.
 KNOWN = 400_000
 
@@ -433,13 +435,23 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared, names = spark.sparkContext.broadcast(model), [*docs.columns, "_score"]
 
     def run(batches):
-        model, known = shared.value, {}
+        model, known, held, n = shared.value, {}, [], 0
         fresh()
+
+        def scored():
+            got = score_texts(model, [t for b in held for t in b.column(at).cast(pa.string()).to_pylist()], known)
+            done = 0
+            for b in held:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got[done : done + b.num_rows], pa.float64())], names=names)
+                done += b.num_rows
+
         for b in batches:
-            for k in range(0, b.num_rows, 2048):
-                part = b.slice(k, 2048)
-                got = score_texts(model, part.column(at).cast(pa.string()).to_pylist(), known)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got, pa.float64())], names=names)
+            held.append(b)
+            n += b.num_rows
+            if n >= TOGETHER:
+                yield from scored()
+                held, n = [], 0
+        yield from scored()
         known.clear()
         release()
 

@@ -89,6 +89,16 @@ def quote_identifier(name: str) -> str:
     return "[" + name.replace("]", "]]") + "]"
 
 
+def quoted_name(name: Column) -> Column:
+    """quote_identifier for a column of names."""
+    return F.concat(F.lit("["), F.replace(name, F.lit("]"), F.lit("]]")), F.lit("]"))
+
+
+def quoted_text(text: Column) -> Column:
+    """A national text literal."""
+    return F.concat(F.lit("N'"), F.replace(text, F.lit("'"), F.lit("''")), F.lit("'"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass, fields
 from datetime import date
 
@@ -285,14 +286,17 @@ def evolution(target: T.StructType, source: T.StructType) -> list[Change]:
     return out + [Change("relax", f.name) for f in target if not f.nullable and f.name in source.names and source[f.name].nullable]
 
 
-def naming(df: DataFrame, mode: str) -> DataFrame:
-    """direct: as they are; snake_case: all; auto: snake_case where a name is not plain already. Two columns of one name are an error."""
+def naming(df: DataFrame, mode: str, target: Sequence[str] | None = None) -> DataFrame:
+    """direct: as they are; snake_case: all; auto: the names that the target's columns have already, as they are where it has none.
+
+    A column is the target's if both have one snake_case name. Two columns of one name are an error.
+    """
     from ..functions.dialect import snake_case
 
     if mode not in ("direct", "snake_case", "auto"):
         raise ValueError(f"unknown naming {mode}")
-    plain = re.compile(r"[a-z_][a-z0-9_]*\Z")
-    names = [c if mode == "direct" or mode == "auto" and plain.match(c) else snake_case(c) for c in df.columns]
+    known = {snake_case(c): c for c in target or ()} | {c: c for c in target or ()} if mode == "auto" else {}
+    names = [snake_case(c) if mode == "snake_case" else known.get(c, known.get(snake_case(c), c)) for c in df.columns]
     if len(set(names)) < len(names):
         raise ValueError("two columns get one name")
     return df.toDF(*names)
@@ -433,7 +437,9 @@ def run(spark, plan: IngestPlan, database, tables: dict[str, DataFrame] | None =
     why = plan.errors()
     if why:
         raise ValueError("; ".join(why))
-    df = naming(extract(spark, plan, tables), plan.naming)
+    target_table = database.table(plan.dest_table)
+    target = target_table.read() if target_table.version() is not None else None
+    df = naming(extract(spark, plan, tables), plan.naming, None if target is None else target.columns)
     if plan.columns:
         df = explicit(df, plan.columns)
     df = mask(df, *plan.mask)
@@ -442,11 +448,9 @@ def run(spark, plan: IngestPlan, database, tables: dict[str, DataFrame] | None =
     strategy = "replace" if plan.full_refresh else plan.pick()
     if strategy == "none":
         return {"strategy": strategy, "schema": df.schema.simpleString(), "rows": 0}
-    target_table = database.table(plan.dest_table)
     name = staging_name(plan.dest_table, strategy)
     database.create_as(name, df)
     stage = database.read(name)
-    target = target_table.read() if target_table.version() is not None else None
     if target is not None and strategy not in ("replace", "scd2"):
         target, stage = align(target, stage, plan.contract)
     if strategy == "append" and target is not None and target.columns == target_table.read().columns:

@@ -224,10 +224,11 @@ def I17_contracts(s, d):
 
 @frame("SELECT n_nationkey AS \"NationKey\", n_name AS nation_name, n_regionkey AS region_key FROM nation")
 def I18_naming(s, d):
+    """auto takes the names that the target has already."""
     odd = load(s, d, "nation").toDF("NationKey", "nationName", "region key")
-    auto = ingest.naming(odd, "auto").toDF("NationKey", "nation_name", "region_key")
-    assert ingest.naming(odd, "snake_case").columns == ["nation_key", "nation_name", "region_key"] and ingest.naming(odd, "direct").columns == odd.columns
-    return auto
+    assert ingest.naming(odd, "snake_case").columns == ["nation_key", "nation_name", "region_key"]
+    assert ingest.naming(odd, "direct").columns == ingest.naming(odd, "auto").columns == odd.columns
+    return ingest.naming(odd, "auto", ["nation_name", "region_key", "NationKey"])
 
 
 fixed("I19_infer_records", "name string, type string, nullable boolean", lambda: [(f.name, f.dataType.simpleString(), f.nullable) for f in ingest.infer_records([{"a": 1, "b": 1, "c": 1, "d": {"x": 1}}, {"a": 2, "b": 1.5, "c": "x", "e": True}])], [("a", "bigint", False), ("b", "double", False), ("c", "string", False), ("d", "string", True), ("e", "boolean", True)])

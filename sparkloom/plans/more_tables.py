@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import dialect as X
 from ..functions import relation
 from ..operators import dml
 from ..session import TABLES, load, scratch
@@ -498,3 +499,38 @@ def Y12_reports(s, d):
     """A small result as JSON lines, a Markdown table and plain text."""
     r = relation.report(load(s, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")))
     return s.createDataFrame([(k, len(v.splitlines())) for k, v in r.items()], "kind string, lines bigint")
+
+
+# ---- bulk copies, names, layouts in place of indexes ----
+@frame("SELECT o_orderkey, o_custkey, o_totalprice, nullif(o_orderpriority, '5-LOW') AS priority, CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderstatus END AS status FROM orders")
+def S46_bulk_copy(s, d):
+    """A query's rows out and in again in character mode; nulls and empty texts stay apart."""
+    path = scratch(s, "bulk")
+    status = F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderstatus"))
+    rows = load(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("priority"), status.alias("status"))
+    copying.bulk_out(rows, path, field="|")
+    return copying.bulk_in(s, path, "o_orderkey long, o_custkey long, o_totalprice double, priority string, status string", field="|")
+
+
+@frame("SELECT c_custkey AS customer_key, c_mktsegment AS market_segment, c_acctbal AS acct_bal_usd FROM customer")
+def F19_snake_case(s, d):
+    t = load(s, d, "customer").select(F.col("c_custkey").alias("customerKey"), F.col("c_mktsegment").alias("Market Segment"), F.col("c_acctbal").alias("AcctBalUSD"))
+    return t.toDF(*(X.snake_case(c) for c in t.columns))
+
+
+@frame("SELECT p_partkey, '[' || replace(p_name || ']x', ']', ']]') || ']' AS name, 'N''' || replace(p_brand || '''s', '''', '''''') || '''' AS text FROM part")
+def F20_quoting(s, d):
+    """Names in brackets and national text literals, of values that hold the closing sign."""
+    return load(s, d, "part").select("p_partkey", X.quoted_name(F.concat("p_name", F.lit("]x"))).alias("name"), X.quoted_text(F.concat("p_brand", F.lit("'s"))).alias("text"))
+
+
+@frame("SELECT c_custkey, c_name, (SELECT count(*) - count(DISTINCT c_custkey) FROM customer)::BIGINT AS twice FROM customer WHERE lower(c_name) BETWEEN 'customer#000000010' AND 'customer#000000019'")
+def X12_lookup(s, d):
+    """In place of an index on an expression and of a unique one: rows laid out by range of the expression, so that file and row group bounds leave out what a lookup cannot need, and a check of the key."""
+    path = scratch(s, "laid")
+    t = load(s, d, "customer").select("c_custkey", "c_name").withColumn("low", F.lower("c_name"))
+    t.repartitionByRange("low").sortWithinPartitions("low").write.parquet(path)
+    laid = s.read.parquet(path)
+    twice = laid.groupBy("c_custkey").agg((F.count("*") - 1).alias("more")).agg(F.coalesce(F.sum("more"), F.lit(0)).alias("twice"))
+    found = laid.where("low BETWEEN 'customer#000000010' AND 'customer#000000019'").select("c_custkey", "c_name")
+    return found.join(F.broadcast(twice))  # one row

@@ -248,3 +248,26 @@ def test_scan_golden(spark):
     found = text.gated(text.scan(files, id_col="path"))
     got = {(r.path, r.severity) for r in found.collect()}
     assert got == {("app.js", "MAJOR"), ("prompt.md", "MAJOR"), ("key.pem", "BLOCKER")} and text.gate(found, "CRITICAL") == 2
+
+
+def test_bulk_copy(spark, tmp_path):
+    rows = [(1, "a", 0.5), (2, None, None), (3, "", 1e-9), (None, "x,y", 2.0)]
+    df = spark.createDataFrame(rows, "id long, t string, v double")
+    copying.bulk_out(df, f"{tmp_path}/a", field="|")
+    got = copying.bulk_in(spark, f"{tmp_path}/a", "id long, t string, v double", field="|")
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, rows))
+    with pytest.raises(Exception, match="holds a terminator"):
+        copying.bulk_out(df, f"{tmp_path}/b", field=",")
+    with pytest.raises(Exception, match="number of fields"):
+        copying.bulk_in(spark, f"{tmp_path}/a", "id long, t string", field="|").collect()
+    copying.bulk_out(df.limit(0), f"{tmp_path}/c")
+    assert copying.bulk_in(spark, f"{tmp_path}/c", "id long, t string, v double").count() == 0
+
+
+def test_names_of_the_target(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "userId int, `First Name` int, other int")
+    names = lambda *a: ingest.naming(df, *a).columns
+    assert names("auto", ["user_id", "First Name"]) == ["user_id", "First Name", "other"]
+    assert names("auto") == df.columns and names("snake_case", ["userId"]) == ["user_id", "first_name", "other"]
+    with pytest.raises(ValueError):
+        ingest.naming(spark.createDataFrame([(1, 2)], "userId int, user_id int"), "auto", ["user_id"])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from sparkloom.llm import decontaminate, packing, simhash, suffixes
 from sparkloom.llm import toxicity as tox
 from sparkloom.llm.common import materialise
+from sparkloom.llm.toxicity_fit import fit_tables
 
 #: A document that scores at least this is rejected.
 TOXIC = 0.3
@@ -31,7 +32,7 @@ def sheltered(docs: DataFrame, apply: Callable[[DataFrame], DataFrame]) -> DataF
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the string-kernel classifier does not find toxic."""
-    model = tox.fit(tox.training_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    model = fit_tables(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return sheltered(docs, lambda d: tox.score(d, model).where((F.col("_score") < TOXIC) | F.col("text").isNull()))
 
 

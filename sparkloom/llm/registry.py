@@ -55,10 +55,10 @@ def op9_warc(spark, sf_dir):
 
 
 def op1_toxicity(spark, sf_dir):
-    from . import toxicity
+    from . import toxicity, toxicity_fit
 
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    model = toxicity_fit.fit_tables(docs, table(spark, sf_dir, "labels"))
     out = toxicity.score(docs.select("doc_id", "text"), model)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))

@@ -258,9 +258,8 @@ WIDE = {"shingle": 5, "words": 2, "radius": 22, "bands": sliding_bands(2, 20, 6)
 WORDS = 400_000
 #: Near copies share this part of their shingles at least: NEAR[0] of NEAR[1].
 NEAR = (4, 5)
-#: Counters of the shingles' frequency, and one of how many texts is counted. Both set the order of shingles only, never which pairs are found.
+#: Counters of the shingles' frequency. They set the order of shingles only, never which pairs are found.
 COUNTERS = 1 << 18
-COUNTED = 8
 #: Rows of one shingle that meet in a task are twice as many at most.
 MEET = 8192
 #: Pairs that a task looks at together.
@@ -275,19 +274,19 @@ def _node(distinct: np.ndarray) -> int:
 
 
 def _frequency(texts: DataFrame, shingle: int) -> np.ndarray:
-    """Texts for each counter of shingle hashes, from one of COUNTED texts."""
+    """Texts for each counter of shingle hashes."""
 
     def run(batches):
         n, known = np.zeros(COUNTERS, np.int64), word_hashes()
         for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                n += np.bincount((np.unique(shingle_hashes(t, shingle, known)) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+            each = [np.unique(shingle_hashes(t, shingle, known)) % np.uint64(COUNTERS) for t in b.column(0).cast(pa.binary()).to_pylist()]
+            if each:
+                n += np.bincount(np.concatenate(each).astype(np.int64), minlength=COUNTERS)
         at = np.nonzero(n)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
 
-    some = texts.where(F.pmod(F.xxhash64("h", F.lit(5)), F.lit(COUNTED)) == 0).select("t")
     out = np.zeros(COUNTERS, np.int64)
-    for r in some.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # COUNTERS rows at most
+    for r in texts.select("t").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():  # COUNTERS rows at most
         out[r.at] = r.n
     return out
 

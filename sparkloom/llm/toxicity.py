@@ -16,7 +16,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import lru_cache
 from sys import intern
 
@@ -29,8 +30,6 @@ from .common import fresh, release, small_batches, without
 
 ORDER = 4
 DECAY = 0.6
-#: Labelled documents that the classifier is fitted on, by smallest hash of the id.
-SAMPLE = 4000
 LANDMARKS = 48
 SPLIT = re.compile(r"[.!?\n]+(?=\s|\Z)")
 EDGE = ".,;:!?\"'()[]{}<>*#$%&-_~|/\\“”«»…"
@@ -43,8 +42,10 @@ RIDGE = 1e-4
 WORN = 2
 #: Units whose kernel rows are found at once.
 PARTS = 4096
-#: Clean training documents that set the cut, and a third as many toxic ones.
-CALIBRATION = 1500
+#: Clean units at least so like an insult weigh more in training.
+NEAR = 0.2
+#: Margin of a text without units.
+NOTHING = -1.5
 #: Texts whose new words are scored at once.
 TOGETHER = 3000
 #: Words whose margins a task remembers.
@@ -289,27 +290,39 @@ def _cover(docs: list[tuple[set, int]], most: int = STEMS) -> list[str]:
             good.setdefault(w, set()).add(f)
     good = Counter({w: len(x) for w, x in good.items()})
     n0, n1 = (max(1, len({f for f, (_, y) in zip(family, docs) if y == t})) for t in (0, 1))
-    # by chance alone, not one of all units may look like this: toxic nearly always, and so often
-    chance, bar = -np.log(n1 / (n1 + n0)), np.log(100 * tried)
-    able = {w for w, n in bad.items() if len(w) >= ORDER and n * chance > bar and n / n1 > 20 * (good[w] + 1) / n0}
-    least = 3
-    if not able:  # too few toxic documents for that: the units that several of them share and no clean one has
-        able, least = {w for w, n in bad.items() if len(w) > ORDER + 1 and not good[w]}, 2
-    left = [_stems(u) & able for u, t in docs if t]
-    found = []
+    able, least = _able(bad, good, tried, n0, n1)
+    return _greedy(Counter(frozenset(_stems(u) & able) for u, t in docs if t), bad, able, least, n1, most)
+
+
+def _bar(tried: int, n0: int, n1: int) -> float:
+    """By chance alone, not one of all tried units may be in more toxic families than this, and in no clean one."""
+    return np.log(100 * tried) / -np.log(n1 / (n1 + n0))
+
+
+def _able(bad: dict[str, int], good: dict[str, int], tried: int, n0: int, n1: int) -> tuple[set[str], int]:
+    """Units that are in toxic families nearly always, and so often, and how many documents a choice must explain."""
+    able = {w for w, n in bad.items() if len(w) >= ORDER and n > _bar(tried, n0, n1) and n / n1 > 20 * (good.get(w, 0) + 1) / n0}
+    if able:
+        return able, 3
+    # too few toxic documents for that: the units that several of them share and no clean one has
+    return {w for w in bad if len(w) > ORDER + 1 and not good.get(w)}, 2
+
+
+def _greedy(left: Counter, bad: dict[str, int], able: set[str], least: int, n1: int, most: int = STEMS) -> list[str]:
+    """Able units in the order of how many toxic documents each explains that none before it does; left counts the documents by the able units they hold."""
+    able, found = set(able), []
     while len(found) < most:
         tally = Counter()
-        for u in left:
-            tally.update(u)
+        for u, k in left.items():
+            tally.update(dict.fromkeys(u & able, k))
         if not tally:
             break
         w, n = max(tally.items(), key=lambda x: (x[1], len(x[0]), x[0]))
         if n < least:
             break
-        left = [u for u in left if w not in u]
+        left = Counter({u: k for u, k in left.items() if w not in u})
         if bad[w] < max(least, 0.01 * n1):
             able.discard(w)
-            left = [u - {w} for u in left]
             continue
         found.append(w)
     # others as wide-spread as these mark toxicity too, even where cover does not need them
@@ -320,69 +333,114 @@ def _cover(docs: list[tuple[set, int]], most: int = STEMS) -> list[str]:
     return found
 
 
-def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
-    """Train on (text, toxic) rows. Without both classes every score is that of an untrained, clean verdict."""
-    docs = [({intern(u) for s in SPLIT.split(t or "") for u in units(s)}, y) for t, y in rows]
-    seeds = _cover(docs)
-    if not seeds:
-        return Model((), np.zeros((0, 0)), np.zeros(0), -1.5)
-    clean = Counter(u for us, y in docs if not y for u in us if len(u) > ORDER)
-    names = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
-    pool = names[:60_000]
-    to = np.concatenate([features(pool[i : i + PARTS], seeds) for i in range(0, len(pool), PARTS)]) if pool else np.zeros((0, len(seeds)))
-    near = to.max(1)
-    hard = [pool[i] for i in np.argsort(-near, kind="stable") if near[i] > 0.2][:3000]
-    # the clean units next to each insult are landmarks too, so that what parts them has a direction of its own
-    rank = np.argsort(-to, 0, kind="stable")[:landmarks]
-    beside = dict.fromkeys(pool[rank[r, j]] for r in range(len(rank)) for j in range(len(seeds)) if to[rank[r, j], j] > 0.2)
-    marks = list(dict.fromkeys([*seeds, *list(beside)[: max(0, landmarks - len(seeds))]]))
+def _landmarks(seeds: list[str], beside: list[str], landmarks: int) -> tuple[list[str], np.ndarray]:
+    """Seeds and the clean units next to them, and the inverse square root of their kernel."""
+    marks = list(dict.fromkeys([*seeds, *beside[: max(0, landmarks - len(seeds))]]))
     k = kernel(marks, marks)
     value, vector = np.linalg.eigh((k + k.T) / 2)
     keep = value > 1e-6
-    root = vector[:, keep] / np.sqrt(value[keep])
-    toxic = [u for us, y in docs if y for u in us if u.startswith(tuple(seeds))]
-    toxic = [w for w, _ in sorted(Counter(toxic).items(), key=lambda x: (-x[1], x[0]))[:400]]
+    return marks, vector[:, keep] / np.sqrt(value[keep])
+
+
+def _worn(seeds: list[str]) -> list[str]:
+    """The same insults as they come with inserted marks and letters."""
     worn = []
-    for w in seeds:  # the same insults as they come with inserted marks and letters
+    for w in seeds:
         worn += ["^" + c.join(w[1:]) for c in ".-*x"] + [w[:i] + c + w[i:] for i in range(2, len(w) - 1) for c in "-x"]
         worn += [w[:i] + "x" + w[i : i + n] + "x" + w[i + n :] for n in (1, 2, 3) for i in range(2, len(w) - n)]
-    far = pool[:1500] + names[1500 :: max(1, len(names) // 1500)]
-    hard = hard * max(1, min(20, 3000 // max(1, len(hard))))
-    worn = worn * WORN
-    xs = toxic * 10 + worn + far + hard
-    ys = np.array([1.0] * (10 * len(toxic) + len(worn)) + [-1.0] * (len(far) + len(hard)))
-    base = {x: i for i, x in enumerate(dict.fromkeys(xs))}
-    names = sorted(base, key=lambda x: (len(x), x))
-    rows_k = np.concatenate([features(names[i : i + PARTS], marks) for i in range(0, len(names), PARTS)])
-    base = {x: i for i, x in enumerate(names)}
-    z = (rows_k @ root)[[base[x] for x in xs]]
-    weight = np.where(ys > 0, len(ys) / (2 * max(1, (ys > 0).sum())), len(ys) / (2 * max(1, (ys < 0).sum())))
-    # squared hinge by Newton steps on the rows inside the margin; the last weight is the bias
-    z1, ridge = np.column_stack([z, np.ones(len(z))]), np.diag([RIDGE] * z.shape[1] + [1e-9])
-    wb = np.zeros(z1.shape[1])
-    loss = lambda v: 0.5 * v @ ridge @ v + 0.5 * (weight * np.maximum(0, 1 - ys * (z1 @ v)) ** 2).mean()
+    return worn
+
+
+def _hinge(z1: np.ndarray, ys: np.ndarray, weight: np.ndarray, wb: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Half the weighted squared hinge loss, and of the rows inside the margin the weighted sums of y z and z z'."""
+    miss = 1 - ys * (z1 @ wb)
+    inside = miss > 0
+    g = z1[inside] * weight[inside][:, None]
+    return 0.5 * float((weight[inside] * miss[inside] ** 2).sum()), g.T @ ys[inside], g.T @ z1[inside]
+
+
+def _newton(stats: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, float]:
+    """Weights and bias by Newton steps on the rows inside the margin, of which stats gives what _hinge does."""
+    ridge, wb = np.diag([RIDGE] * size + [1e-9]), np.zeros(size + 1)
+    now, g, h = stats(wb)
     for _ in range(50):
-        inside = ys * (z1 @ wb) < 1
-        g = z1[inside] * (weight[inside] / len(ys))[:, None]
-        step = np.linalg.solve(ridge + g.T @ z1[inside] + 1e-12 * np.eye(len(wb)), g.T @ ys[inside]) - wb
+        step = np.linalg.solve(ridge + h + 1e-12 * np.eye(len(wb)), g) - wb
         t = 1.0
-        while t > 1e-4 and loss(wb + t * step) > loss(wb):
+        while True:
+            v = wb + t * step
+            loss, g, h = stats(v)
+            loss += 0.5 * v @ ridge @ v
+            if t <= 1e-4 or loss <= now:
+                break
             t /= 2
-        wb = wb + t * step
+        wb, now = v, loss
         if t <= 1e-4 or np.abs(t * step).max() < 1e-6:
             break
-    w, b = wb[:-1], wb[-1]
-    model = Model(tuple(marks), root, w, float(b))
-    some = [d for d in docs if d[1]][: CALIBRATION // 3] + [d for d in docs if not d[1]][: CALIBRATION]
-    every = sorted(set().union(*(u for u, _ in some)))
-    known = dict(zip(every, model.margins(every).tolist()))
-    worst = sorted((max(map(known.__getitem__, u), default=-1.5), y) for u, y in some)
-    m, y = np.array([x for x, _ in worst]), np.array([t for _, t in worst])
-    wrong = ((y == 0).sum() + np.cumsum(np.where(y == 1, 1, -1)))[:-1]
-    apart = np.nonzero(np.diff(m) > 0)[0]  # equal margins cannot be parted
-    best = max(apart, key=lambda i: (-wrong[i], m[i + 1] - m[i]), default=None)
-    cut = 0.0 if best is None else float((m[best] + m[best + 1]) / 2)
-    return replace(model, cut=float(np.clip(cut, -0.5, 0.9)))
+    return wb[:-1], float(wb[-1])
+
+
+def _cut(worst: list[tuple[float, int, int]]) -> float:
+    """The cut that is wrong least often, from (margin, clean, toxic): how many documents have that worst margin."""
+    worst = sorted(worst)
+    m, n0, n1 = (np.array(x) for x in zip(*worst))
+    wrong = n0.sum() - np.cumsum(n0) + np.cumsum(n1)  # of a cut behind each margin
+    best = max(range(len(m) - 1), key=lambda i: (-wrong[i], m[i + 1] - m[i]), default=None)
+    return float(np.clip(0.0 if best is None else (m[best] + m[best + 1]) / 2, -0.5, 0.9))
+
+
+def fit(rows: list[tuple[str, int]], landmarks: int = LANDMARKS) -> Model:
+    """Train on a list of (text, toxic) rows; `toxicity_fit.fit_tables` trains on tables. Without both classes every score is that of an untrained, clean verdict."""
+    docs = [({intern(u) for s in SPLIT.split(t or "") for u in units(s)}, y) for t, y in rows]
+    seeds = _cover(docs)
+    if not seeds:
+        return Model((), np.zeros((0, 0)), np.zeros(0), -1.5)
+    every = sorted(set().union(*(u for u, _ in docs)), key=lambda x: (len(x), x))
+    clean = Counter(u for us, y in docs if not y for u in us if len(u) > ORDER)
+    bad = {u for us, y in docs if y for u in us if u.startswith(tuple(seeds))}
+    pool = [w for w, _ in sorted(clean.items(), key=lambda x: (-x[1], x[0]))]
+    table = lambda xs, ys: np.concatenate([np.zeros((0, len(ys))), *(features(xs[i : i + PARTS], ys) for i in range(0, len(xs), PARTS))])
+    to = np.round(table(pool, seeds), 12)  # equal ones stay equal, however many were found at once
+    rank = np.argsort(-to, 0, kind="stable")[:landmarks]
+    beside = dict.fromkeys(pool[rank[r, j]] for r in range(len(rank)) for j in range(len(seeds)) if to[rank[r, j], j] > NEAR)
+    marks, root = _landmarks(seeds, list(beside), landmarks)
+    hard = {pool[i] for i in np.nonzero(to.max(1) > NEAR)[0]}
+    worn = _worn(seeds)
+    z = table([*every, *worn], marks) @ root
+    z1 = np.column_stack([z, np.ones(len(z))])
+    of = Masses(len(clean), len(hard), len(bad), len(worn))
+    up = np.array([of.toxic * (u in bad) for u in every] + [of.worn] * len(worn))
+    down = np.array([of.far * (u in clean) + of.hard * (u in hard) for u in every] + [0.0] * len(worn))
+    both, ys = np.concatenate([z1, z1]), np.repeat([1.0, -1.0], len(z1))
+    w, b = _newton(lambda v: _hinge(both, ys, np.concatenate([up, down]), v), z.shape[1])
+    known = dict(zip(every, (z[: len(every)] @ w + b).tolist()))
+    worst: dict[float, list[int]] = {}
+    for u, y in docs:
+        worst.setdefault(max(map(known.__getitem__, u), default=NOTHING), [0, 0])[1 if y else 0] += 1
+    return Model(tuple(marks), root, w, b, _cut([(m, *n) for m, n in worst.items()]))
+
+
+@dataclass(frozen=True)
+class Masses:
+    """Weight of each unit in the loss, from the numbers of distinct units: half for each class, whatever their numbers.
+    Clean ones near an insult have one as clean, one more as near; insults as they come outweigh those with inserted letters."""
+
+    n_clean: int
+    n_hard: int
+    n_toxic: int
+    n_worn: int
+
+    @property
+    def _down(self):
+        return min(3000, self.n_clean), min(20 * self.n_hard, 3000)
+
+    @property
+    def _up(self):
+        return 10 * min(400, self.n_toxic), WORN * self.n_worn
+
+    far = property(lambda self: self._down[0] / max(1, self.n_clean) / (2 * max(1, sum(self._down))))
+    hard = property(lambda self: self._down[1] / max(1, self.n_hard) / (2 * max(1, sum(self._down))))
+    toxic = property(lambda self: self._up[0] / max(1, self.n_toxic) / (2 * max(1, sum(self._up))))
+    worn = property(lambda self: self._up[1] / max(1, self.n_worn) / (2 * max(1, sum(self._up))))
 
 
 def score_texts(model: Model, texts: list[str | None], known: dict[str, float]) -> list[float]:
@@ -404,21 +462,27 @@ def score_texts(model: Model, texts: list[str | None], known: dict[str, float])
     known.update((w, max(map(margins.__getitem__, us), default=-np.inf)) for w, us in of.items())
     worst = [max(map(known.__getitem__, d), default=-np.inf) for d in distinct]
     worst = [max(m, *map(margins.__getitem__, r)) if r else m for m, r in zip(worst, loose)]
-    return [model.probability(-1.5 if m == -np.inf else m) for m in worst]
+    return [model.probability(NOTHING if m == -np.inf else m) for m in worst]
 
 
 def score_text(model: Model, text: str | None, known: dict[str, float]) -> float:
     return score_texts(model, [text], known)[0]
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
-    """At most `sample` labelled (text, toxic) rows whose crc32 of the id modulo 4 is not 2; of repeated labels the toxic one
-    counts, of texts that share an id the smallest. Null ids and null labels are left out; an empty table gives no rows."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_id, _toxic, _text) of all labelled rows whose crc32 of the id modulo 4 is not 2; of repeated labels the toxic one
+    counts, of texts that share an id the smallest. Null ids and null labels are left out."""
     own = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").cast("int").alias("_toxic"))
     own = own.where(F.crc32(F.col("_id").cast("string")) % 4 != 2)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    own = own.join(texts.select("_id").distinct(), "_id", "left_semi").orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    found = texts.join(F.broadcast(own), "_id").groupBy("_id").agg(F.first("_toxic").alias("_toxic"), F.min("_text").alias("_text"))  # own is at most `sample` rows
+    return texts.join(own, "_id").groupBy("_id").agg(F.first("_toxic").alias("_toxic"), F.min("_text").alias("_text"))
+
+
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
+    """The (text, toxic) rows of small tables as a list, for `fit`; at most `sample` of them by smallest hash of the id, if given."""
+    found = labelled(docs, labels, id_col, text_col)
+    if sample is not None:
+        found = found.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     return [(r._text, r._toxic) for r in sorted(found.collect(), key=lambda r: r._id)]
 
 

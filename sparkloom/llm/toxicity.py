@@ -42,6 +42,8 @@ RIDGE = 1e-4
 WORN = 2
 #: Units whose kernel rows are found at once.
 PARTS = 4096
+#: Pairs of units whose common subsequences are weighed at once.
+PAIRS = 256
 #: Clean units at least so like an insult weigh more in training.
 NEAR = 0.2
 #: Margin of a text without units.
@@ -59,6 +61,8 @@ def word_units(w: str) -> list[str]:
     w = w.strip(EDGE)
     if not w or len(w) == 1 and w.isalpha():
         return []
+    if _plain(w):
+        return ["^" + w]
     out = [w]
     if not w.isalpha() and len(letters := "".join(filter(str.isalpha, w))) >= ORDER:
         out.append(letters)
@@ -67,6 +71,11 @@ def word_units(w: str) -> list[str]:
     return [u for x in out for u in _windows("^" + x)]
 
 
+def _plain(w: str) -> bool:
+    """Of a word without edge marks: that it is its only unit, after the mark for the beginning, as with nearly all words."""
+    return w.isalpha() and 1 < len(w) < WINDOW and (len(w) < 2 * ORDER - 1 or w[1] != w[3])
+
+
 def runs(words: list[str]) -> list[str]:
     """Units of single letters that follow one another, joined."""
     out, run = [], []
@@ -88,7 +97,7 @@ def units(sentence: str) -> list[str]:
 
 
 def text_runs(text: str, words: list[str], single: set[str]) -> list[str]:
-    """Units of single letters in a row, inside a sentence; words are the text's without edge marks, single those that are one letter."""
+    """Units of single letters in a row, inside a sentence; words are the text's, single those that are one letter but for edge marks."""
     if not single or (b"\1" * ORDER) not in bytes(map(single.__contains__, words)):
         return []
     return [u for s in SPLIT.split(text) for u in runs(s.lower().split())]
@@ -172,14 +181,14 @@ def _common(a: np.ndarray, y: str) -> tuple[np.ndarray, np.ndarray]:
         holds[min(ord(c), 0xFFFF)] |= np.uint64(1 << i)
     mask = np.uint64((1 << len(y)) - 1)
     v = np.full(len(a), mask, np.uint64)
-    best, end = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-    for p in range(a.shape[1]):
-        u = v & holds[a[:, p]]
+    lacks, end = np.full(len(a), len(y), np.uint8), np.zeros(len(a), np.int64)
+    for p, h in enumerate(holds[a.T]):
+        u = v & h
         v = (v + u) | (v - u)
-        n = len(y) - np.bitwise_count(v & mask).astype(np.int64)
-        end[n > best] = p + 1
-        best = n
-    return best, end
+        n = np.bitwise_count(v & mask)
+        end[n < lacks] = p + 1
+        lacks = n
+    return len(y) - lacks.astype(np.int64), end
 
 
 def _codes(xs):
@@ -189,38 +198,34 @@ def _codes(xs):
 
 def _against(xs, y, order, decay) -> np.ndarray:
     """Dynamic programme over the letters of all xs at once."""
-    a = _codes(xs)
-    b, m = a.shape
-    same = a[:, :, None] == np.array([ord(c) for c in y])[None, None, :]
-    prev = np.ones((b, m + 1, len(y) + 1))
-    total = np.zeros(b)
-    for step in range(order):
-        if step == order - 1:
-            return decay**2 * (prev[:, :m, : len(y)] * same).sum((1, 2))
-        cur = np.zeros((b, m + 1, len(y) + 1))
-        for s in range(1, m + 1):
-            gap = np.zeros(b)
-            for t in range(1, len(y) + 1):
-                gap = decay * gap + decay**2 * prev[:, s - 1, t - 1] * same[:, s - 1, t - 1]
-                cur[:, s, t] = decay * cur[:, s - 1, t] + gap
-        prev = cur
-    return total
+    a, b = _codes(xs).T, np.array([ord(c) for c in y])[None, :, None]
+    return np.concatenate([_paths(x[:, None, :] == b, order, decay) for x in _some(a)])
 
 
 def _self(xs, order, decay) -> np.ndarray:
-    a = _codes(xs)
-    b, m = a.shape
-    same = (a[:, :, None] == a[:, None, :]) & (a[:, :, None] != 0)
-    prev = np.ones((b, m + 1, m + 1))
+    return np.concatenate([_paths((x[:, None, :] == x[None, :, :]) & (x[:, None, :] != 0), order, decay) for x in _some(_codes(xs).T)])
+
+
+def _some(a: np.ndarray) -> list[np.ndarray]:
+    """Columns of a, so many at once that a processor's cache holds what is found of them."""
+    return [a[:, k : k + PAIRS] for k in range(0, a.shape[1], PAIRS)]
+
+
+def _paths(same: np.ndarray, order: int, decay: float) -> np.ndarray:
+    """Weighted common subsequences of pairs of words; same[s, t, i]: letter s of pair i's one word is letter t of its other. Steps take all of the letters of one side and all pairs together."""
+    m, n, b = same.shape
+    on = np.ones((m, n, b))
     for _ in range(order - 1):
-        cur = np.zeros((b, m + 1, m + 1))
-        for s in range(1, m + 1):
-            gap = np.zeros(b)
-            for t in range(1, m + 1):
-                gap = decay * gap + decay**2 * prev[:, s - 1, t - 1] * same[:, s - 1, t - 1]
-                cur[:, s, t] = decay * cur[:, s - 1, t] + gap
-        prev = cur
-    return decay**2 * (prev[:, :m, :m] * same).sum((1, 2))
+        gap, cur = (decay**2 * on) * same, np.zeros((m, n, b))
+        for t in range(1, n):
+            gap[:, t] += decay * gap[:, t - 1]
+        # ends before letter s of the one word and t of the other
+        for s in range(1, m):
+            np.multiply(cur[s - 1, 1:], decay, out=cur[s, 1:])
+            cur[s, 1:] += gap[s - 1, :-1]
+        on = cur
+    # letter by letter, so that what shorter words are filled up with changes nothing
+    return decay**2 * (on * same).sum(0).sum(0)
 
 
 @dataclass(frozen=True)
@@ -443,30 +448,61 @@ class Masses:
     worn = property(lambda self: self._up[1] / max(1, self.n_worn) / (2 * max(1, sum(self._up))))
 
 
-def score_texts(model: Model, texts: list[str | None], known: dict[str, float]) -> list[float]:
-    """Score of each text by its worst unit; known keeps the worst margin of each word."""
-    words = [[w.strip(EDGE) for w in (t or "").lower().split()] for t in texts]
-    distinct = list(map(set, words))
-    seen = set().union(*distinct)
-    new = {w for w in seen if w not in known}
-    if len(known) + len(new) > KNOWN:  # those of these texts stay
-        kept = {w: known[w] for w in seen - new}
-        known.clear()
-        known.update(kept)
-    of = {w: word_units(w) for w in new}
-    single = {w for w in seen if len(w) == 1 and w.isalpha()}
-    loose = [text_runs(t or "", w, single) for t, w in zip(texts, words)]
-    every = sorted({u for us in (*of.values(), *loose) for u in us})
-    # nearly all units are far from every landmark and share one margin, and one float object
-    margins = {u: model.bias if m == model.bias else m for u, m in zip(every, model.margins(every).tolist())}
-    known.update((w, max(map(margins.__getitem__, us), default=-np.inf)) for w, us in of.items())
-    worst = [max(map(known.__getitem__, d), default=-np.inf) for d in distinct]
-    worst = [max(m, *map(margins.__getitem__, r)) if r else m for m, r in zip(worst, loose)]
-    return [model.probability(NOTHING if m == -np.inf else m) for m in worst]
-
-
-def score_text(model: Model, text: str | None, known: dict[str, float]) -> float:
-    return score_texts(model, [text], known)[0]
+class Margins:
+    """What a task remembers of words as they stand in texts: those met, the worst margins of those whose margin is not
+    that of all units far from every landmark, and those that are one letter."""
+
+    def __init__(self):
+        self.met: set[str] = set()
+        self.near: dict[str, float] = {}
+        self.single: set[str] = set()
+
+    def keep(self, words: set[str]) -> None:
+        """Forget all others."""
+        self.met &= words
+        self.single &= words
+        self.near = {w: m for w, m in self.near.items() if w in words}
+
+
+def score_texts(model: Model, texts: list[str | None], known: Margins) -> list[float]:
+    """Score of each text by its worst unit."""
+    distinct, loose, new = [], [], set()
+    for t in texts:
+        words = (t or "").lower().split()
+        own = set(words)
+        more = own - known.met
+        known.met |= more
+        new |= more
+        known.single.update(w for w in more if len(x := w.strip(EDGE)) == 1 and x.isalpha())
+        distinct.append(own)
+        loose.append([] if known.single.isdisjoint(own) else text_runs(t, words, known.single))
+    # marks at the edge change nothing, so the bare word may be known
+    bare = {w: w.strip(EDGE) for w in new}
+    todo = {x for w, x in bare.items() if x is w or x in new or x not in known.met}
+    of = {w: word_units(w) for w in todo if not _plain(w)}
+    every = list({"^" + w for w in todo if w not in of}.union(*of.values(), *loose))
+    # nearly all units are far from every landmark and share one margin
+    margins = {u: m for u, m in zip(every, model.margins(every).tolist()) if m != model.bias}
+    known.near.update((w, margins[u]) for u in margins if (w := u[1:]) in todo and w not in of)
+    for w, us in of.items():
+        if (m := max((margins.get(u, model.bias) for u in us), default=-np.inf)) != model.bias:
+            known.near[w] = m
+    known.met |= todo
+    known.near.update((w, known.near[x]) for w, x in bare.items() if x in known.near)
+    scores = []
+    for own, more in zip(distinct, loose):
+        found = known.near.keys() & own
+        m = max(map(known.near.__getitem__, found), default=-np.inf)
+        if len(found) < len(own):
+            m = max(m, model.bias)
+        scores.append(model.probability(NOTHING if (m := max([m, *(margins.get(u, model.bias) for u in more)])) == -np.inf else m))
+    if len(known.met) > KNOWN:  # those of these texts stay
+        known.keep(set().union(*distinct, bare.values()))
+    return scores
+
+
+def score_text(model: Model, text: str | None, known: Margins | None = None) -> float:
+    return score_texts(model, [text], known or Margins())[0]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -499,7 +535,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     shared, names = spark.sparkContext.broadcast(model), [*docs.columns, "_score"]
 
     def run(batches):
-        model, known, held, n = shared.value, {}, [], 0
+        model, known, held, n = shared.value, Margins(), [], 0
         fresh()
 
         def scored():
@@ -516,7 +552,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 yield from scored()
                 held, n = [], 0
         yield from scored()
-        known.clear()
+        del known
         release()
 
     return docs.mapInArrow(run, docs.withColumn("_score", F.lit(0.0)).schema)

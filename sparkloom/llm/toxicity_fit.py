@@ -16,6 +16,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +31,28 @@ TURNS = (np.arange(16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint
 
 def _units(text: str, known: Remembered) -> set[str]:
     """Distinct units of all sentences."""
-    words = [w.strip(tox.EDGE) for w in text.lower().split()]
+    words = text.lower().split()
     distinct = set(words)
-    out = {u for w in distinct for u in known[w]}
-    out.update(tox.text_runs(text, words, {w for w in distinct if len(w) == 1 and w.isalpha()}))
+    bare = {w.strip(tox.EDGE) for w in distinct}
+    # what tox._plain says, without a call for each word
+    plain = {w for w in bare if w.isalpha() and 1 < len(w) < tox.WINDOW and (len(w) < 2 * tox.ORDER - 1 or w[1] != w[3])}
+    out, single = {"^" + w for w in plain}, set()
+    for w in bare - plain:
+        out.update(known[w])
+        if len(w) == 1 and w.isalpha():
+            single.add(w)
+    if single:
+        out.update(tox.text_runs(text, words, {w for w in distinct if w.strip(tox.EDGE) in single}))
     return out
 
 
 def _bands(units: set[str]) -> list[int]:
     """Keys of four min-hashes in a row of the longer units."""
-    hashes = np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in units if len(u) >= 6], np.uint64)
+    long = [u for u in units if len(u) >= 6]
+    try:
+        hashes = np.array(list(map(zlib.crc32, map(str.encode, long))), np.uint64)
+    except UnicodeEncodeError:
+        hashes = np.array([zlib.crc32(u.encode("utf-8", "surrogatepass")) for u in long], np.uint64)
     if not len(hashes):
         return []
     x = hashes[:, None] * TURNS
@@ -76,10 +89,18 @@ def _holding(tokens: DataFrame, stems: set[str]) -> DataFrame:
     def run(batches):
         fresh()
         wanted = shared.value
+        least = tox.ORDER + 1  # letters of the shortest stems
+        begins = pa.array(sorted({s[:least] for s in wanted}), pa.string())
         known = Remembered(lambda u: tuple(tox._stems({u}) & wanted), WORDS)
         for b in batches:
-            hits = [sorted({s for u in us for s in known[u]}) for us in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hits, pa.list_(pa.string()))], names=["node", "toxic", "hits"])
+            us = b.column(2)
+            # most units begin like no stem, which their first letters tell
+            flat, of = us.flatten(), pc.list_parent_indices(us)
+            may = pc.is_in(pc.utf8_slice_codeunits(flat, 0, least), begins)
+            hits = [set() for _ in range(b.num_rows)]
+            for i, u in zip(of.filter(may).to_pylist(), flat.filter(may).to_pylist()):
+                hits[i].update(known[u])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(map(sorted, hits)), pa.list_(pa.string()))], names=["node", "toxic", "hits"])
         known.clear()
         release()
 
